@@ -45,7 +45,8 @@ def _complement_medians(df: DataFrame, present: DataFrame, value: str, group: st
     arrays in-row) locate the bucket holding each target rank; only that
     bucket's distinct values are scanned exactly."""
     hv = value_counts(df, value)                      # (v, _w)  all rows
-    spl = plan_splitters(hv, value)
+    # finer buckets: each group scans only its target bucket's distinct values
+    spl = plan_splitters(hv, value, min_buckets=128)
     hv = with_bucket(hv, value, spl)                  # (v, _w, _b)
     pv = with_bucket(value_counts(present, value, group, out="_p"), value, spl)   # (g, v, _p, _b)
     hb = hv.groupBy("_b").agg(F.sum("_w").alias("_hb"))          # <= B rows: one bounded array

@@ -98,7 +98,7 @@ def mode_fill(df: DataFrame, c: str, sentinel: str = "Undefined",
         d = d.join(m, keys, "left")  # null keys do not match: row kept as is
         d = d.withColumn(c, F.when((F.col(c) == sentinel) & F.col("__mode").isNotNull(), F.col("__mode"))
                            .otherwise(F.col(c))).drop("__mode")
-    return d
+    return d.select(*df.columns)
 
 
 def cap_rare(df: DataFrame, c: str, min_count: int = 5, other: str = "Other") -> DataFrame:
@@ -106,7 +106,7 @@ def cap_rare(df: DataFrame, c: str, min_count: int = 5, other: str = "Other") ->
     Counts are an aggregate joined back on the value."""
     cnt = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__cnt"))
     j = df.join(cnt, c, "left")
-    return j.withColumn(c, F.when(F.col("__cnt") < min_count, F.lit(other)).otherwise(F.col(c))).drop("__cnt")
+    return j.withColumn(c, F.when(F.col("__cnt") < min_count, F.lit(other)).otherwise(F.col(c))).select(*df.columns)
 
 
 def floor_band(c) -> Column:

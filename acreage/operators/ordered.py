@@ -58,7 +58,8 @@ def is_small(df: DataFrame, rows_per_bucket: int | None = None) -> bool:
 
 
 def plan_splitters(df: DataFrame, value: str, rows_per_bucket: int | None = None,
-                   max_buckets: int = MAX_BUCKETS, checked_small: bool | None = None) -> list[float]:
+                   max_buckets: int | None = None, checked_small: bool | None = None,
+                   min_buckets: int = 1) -> list[float]:
     """Order-preserving bucket splitters for ``value``.
 
     [] means one bucket (the input passed the size check).  Otherwise one more
@@ -67,7 +68,17 @@ def plan_splitters(df: DataFrame, value: str, rows_per_bucket: int | None = None
     each holds about ``rows_per_bucket / 2`` rows.
     """
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    small = is_small(df, rows_per_bucket) if checked_small is None else checked_small
+    max_buckets = max_buckets or MAX_BUCKETS
+    if min_buckets > 1:
+        # caller wants a finer split (e.g. per-group scans of one bucket);
+        # worth it only when the input is not tiny
+        n0 = df.count()
+        if n0 <= min_buckets * 1000:
+            return []
+        rows_per_bucket = min(rows_per_bucket, max(1000, n0 // min_buckets))
+        small = False
+    else:
+        small = is_small(df, rows_per_bucket) if checked_small is None else checked_small
     if small:
         return []
     probs = [i / max_buckets for i in range(1, max_buckets)]

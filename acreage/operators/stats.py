@@ -128,18 +128,21 @@ def ecdf(df: DataFrame, c: str, by=None) -> DataFrame:
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pairwise Pearson correlations (pairwise-complete, like pandas) in one
-    aggregate, returned long: (col_a, col_b, corr)."""
+    aggregate over the upper triangle, mirrored; returned long (col_a, col_b, corr).
+    The diagonal is 1 when the column varies."""
     cols = list(cols)
-    aggs, pairs = [], []
+    aggs, cells = [], []
     for i, a in enumerate(cols):
-        for b in cols:
-            nm = f"__c{len(pairs)}"
-            aggs.append(F.corr(a, b).alias(nm) if a != b else
-                        F.when(F.stddev_samp(a) > 0, F.lit(1.0)).alias(nm))
-            pairs.append((a, b, nm))
+        aggs.append(F.when(F.stddev_samp(a) > 0, F.lit(1.0)).alias(f"__d{i}"))
+        cells.append((a, a, f"__d{i}"))
+        for j in range(i + 1, len(cols)):
+            b = cols[j]
+            nm = f"__c{i}_{j}"
+            aggs.append(F.corr(a, b).alias(nm))
+            cells += [(a, b, nm), (b, a, nm)]
     row = df.agg(*aggs)
     arr = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(nm).alias("corr"))
-                    for a, b, nm in pairs])
+                    for a, b, nm in cells])
     return row.select(F.inline(arr))
 
 
