@@ -168,7 +168,14 @@ class FurnishClusters:
         ])
 
     def fit(self, df: DataFrame, known: str = "known") -> FurnishClusters:
-        self.model = self._pipeline().fit(df.where(F.col(known)))
+        # KMeans iterates over its input: persist the 18 small count columns
+        # (not the whole table) for the fit, then release them.
+        from pyspark import StorageLevel
+        x = df.where(F.col(known)).select(*self.items).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            self.model = self._pipeline().fit(x)
+        finally:
+            x.unpersist()
         self._labels_from_centers()
         return self
 
