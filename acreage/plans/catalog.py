@@ -6,7 +6,7 @@ import importlib
 
 from acreage.plans.registry import OPERATORS, ORACLE, QUERIES
 
-_MODULES = ["q_views", "q_rules", "q_parse", "q_features", "q_similarity", "q_insight", "q_io", "q_ml"]
+_MODULES = ["q_views", "q_rules", "q_parse", "q_features", "q_similarity", "q_insight", "q_io", "q_ml", "q_extra"]
 
 for _m in _MODULES:
     importlib.import_module(f"acreage.plans.{_m}")
