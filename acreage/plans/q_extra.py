@@ -83,3 +83,70 @@ def request_features(spark, sf):
     out = stages.request_features(req, L.select("sector", "society"))
     return round_doubles(out.select("order_key", "line_no", "is_valid", "society", "area_per_bedroom",
                                     "plot_area_missing", "age_possession"))
+
+
+@query("clean_fields", ops="B3 B4 B5 B7 B6", sql="""
+SELECT c_custkey,
+  CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) + 1000 AS DOUBLE) AS price_per_sqft,
+  CAST(c_nationkey % 6 + 1 AS DOUBLE) AS bedrooms,
+  CASE c_custkey % 3 WHEN 0 THEN '0' WHEN 1 THEN '2' ELSE '3+' END AS balcony,
+  lower(trim(c_name)) AS society,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN 'not available' ELSE lower(c_mktsegment) END AS facing
+FROM customer
+""")
+def clean_fields(spark, sf):
+    c = table(spark, sf, "customer")
+    rate_txt = F.concat(F.lit("₹"), F.format_number(F.floor(F.abs("c_acctbal")).cast("long") + 1000, 0), F.lit("/sqft"))
+    beds_txt = F.concat((F.col("c_nationkey") % 6 + 1).cast("string"), F.lit(" Bedrooms"))
+    bal_txt = F.element_at(F.array(F.lit("No Balcony"), F.lit("2 Balconies"), F.lit("3+ Balconies")),
+                           (F.col("c_custkey") % 3 + 1).cast("int"))
+    soc_txt = F.concat(F.lit("  "), F.upper("c_name"), F.lit(" "))
+    facing = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment"))
+    return c.select("c_custkey", P.rate(rate_txt).alias("price_per_sqft"),
+                    P.leading_number(beds_txt).alias("bedrooms"), P.balcony(bal_txt).alias("balcony"),
+                    P.trim_lower(soc_txt).alias("society"), P.fill_lower(facing).alias("facing"))
+
+
+@query("primary_area", ops="F2 F3 F5", sql="WITH " + L_SQL + """
+, x AS (SELECT property_type, CASE property_type WHEN 'ECONOMY' THEN 'flat' WHEN 'SMALL' THEN 'independent builder floor'
+                               WHEN 'LARGE' THEN 'house' ELSE 'other' END AS kind,
+               CASE WHEN bedrooms % 2 = 0 THEN area * 100 END AS super_a, CASE WHEN bedrooms % 3 = 0 THEN area * 90 END AS built_a,
+               area * 80 AS carpet_a, CASE WHEN bedrooms > 4 THEN area * 120 END AS plot_a FROM L)
+, y AS (SELECT property_type, CASE WHEN kind IN ('flat', 'independent builder floor') THEN super_a
+                                   WHEN kind = 'house' THEN plot_a END AS prim,
+               list_sort(list_filter([super_a, built_a, carpet_a], lambda v: v IS NOT NULL)) AS a FROM x)
+, z AS (SELECT property_type, coalesce(prim, CASE WHEN len(a) = 0 THEN NULL WHEN len(a) % 2 = 1 THEN a[len(a) // 2 + 1]
+                                             ELSE (a[len(a) // 2] + a[len(a) // 2 + 1]) / 2 END) AS total FROM y)
+SELECT property_type, count(total) AS n, round(sum(total), 6) AS total_area FROM z GROUP BY property_type
+""")
+def primary_area(spark, sf):
+    from acreage.operators import impute
+    L = listing_view(spark, sf)
+    kind = (F.when(F.col("property_type") == "ECONOMY", "flat").when(F.col("property_type") == "SMALL",
+                                                                       "independent builder floor")
+             .when(F.col("property_type") == "LARGE", "house").otherwise("other"))
+    x = L.select("property_type", kind.alias("kind"),
+                 F.when(F.col("bedrooms") % 2 == 0, (F.col("area") * 100).cast("string")).alias("super_a"),
+                 F.when(F.col("bedrooms") % 3 == 0, F.col("area") * 90).alias("built_a"),
+                 (F.col("area") * 80).alias("carpet_a"),
+                 F.when(F.col("bedrooms") > 4, F.col("area") * 120).alias("plot_a"))
+    x = impute.coerce_numeric(x, ["super_a"])           # F5: text -> double
+    x = x.withColumn("total", impute.primary_area("kind", "super_a", "plot_a"))
+    x = x.withColumn("total", impute.fallback_area("total", ["super_a", "built_a", "carpet_a"]))
+    return round_doubles(x.groupBy("property_type").agg(F.count("total").alias("n"), F.sum("total").alias("total_area")))
+
+
+@query("robust_scale", ops="K9", sql="""
+WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS med,
+                  quantile_cont(o_totalprice, 0.75) AS q3 FROM orders WHERE o_orderstatus = 'F')
+SELECT o_orderstatus, count(*) AS n, round(sum((o_totalprice - med) / (q3 - q1)), 6) AS scaled_sum,
+       round(min((o_totalprice - med) / (q3 - q1)), 6) AS scaled_min
+FROM orders, q GROUP BY o_orderstatus
+""")
+def robust_scale(spark, sf):
+    from acreage.ml.encode import robust_scale as rs
+    o = table(spark, sf, "orders").select("o_orderstatus", "o_totalprice")
+    s = rs(o, ["o_totalprice"], fit_on=o.where(F.col("o_orderstatus") == "F"))
+    return round_doubles(s.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"),
+                                                        F.sum("o_totalprice").alias("scaled_sum"),
+                                                        F.min("o_totalprice").alias("scaled_min")))
