@@ -81,16 +81,13 @@ def plan_splitters(df: DataFrame, value: str, rows_per_bucket: int | None = None
         small = is_small(df, rows_per_bucket) if checked_small is None else checked_small
     if small:
         return []
-    probs = [i / max_buckets for i in range(1, max_buckets)]
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(F.col(value).cast("double"), probs, SKETCH_ACCURACY).alias("s"),
-    ).first()
-    n = row["n"] or 0
-    want = min(max_buckets, math.ceil(n / rows_per_bucket) * 2)
-    step = max(1, max_buckets // want)
-    raw = (row["s"] or [])[step - 1::step]
-    return sorted({x for x in raw if x is not None and not math.isnan(x)})
+    n = n0 if min_buckets > 1 else df.count()
+    want = min(max_buckets, max(2, min_buckets, math.ceil(n / rows_per_bucket)))
+    # sketch only the splitters we need; accuracy 20x the bucket count keeps
+    # bucket sizes within a few percent of each other
+    probs = [i / want for i in range(1, want)]
+    row = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, max(1000, 20 * want)).alias("s")).first()
+    return sorted({x for x in (row["s"] or []) if x is not None and not math.isnan(x)})
 
 
 def with_bucket(df: DataFrame, value: str, splitters: Sequence[float], out: str = "_b") -> DataFrame:
@@ -163,19 +160,12 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by=None,
     keys = _keys(by)
     probs = list(probs)
     names = _names(probs, names)
-    if is_small(df):
-        # Checked small: the built-in exact percentile (partial + final hash
-        # aggregate holding at most the group's distinct values) is safe.
-        freq = F.col(weight) if weight else F.lit(1)
-        v = F.col(value)
-        aggs = [F.percentile(v, probs, freq).alias("__qs")]
-        if count_as:
-            aggs.append((F.sum(F.when(v.isNotNull(), freq)) if weight else F.count(v)).cast("long").alias(count_as))
-        g = df.groupBy(*keys).agg(*aggs)
-        return g.select(*keys, *[F.col("__qs")[i].alias(nm) for i, nm in enumerate(names)],
-                        *([count_as] if count_as else []))
+    small = is_small(df)
     vc = value_counts(df, value, keys, weight)
-    r = running_total(vc, value, keys, weight="_w", splitters=plan_splitters(vc, value, checked_small=False))
+    # checked small: one sorted window per group over its distinct values
+    # (cheaper than percentile's per-partition hash maps); else value buckets
+    spl = [] if small else plan_splitters(vc, value, checked_small=False)
+    r = running_total(vc, value, keys, weight="_w", splitters=spl)
     hits = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("_tot") - 1)

@@ -13,9 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, keys=None, min_partitions: int | None = None) -> DataFrame:
+    """Repartition an under-partitioned input.  With ``keys`` the rows are
+    hash-partitioned on them (deterministic, no sort of wide text rows);
+    without, round-robin."""
     sc = df.sparkSession.sparkContext
     want = min_partitions or sc.defaultParallelism
     if df.rdd.getNumPartitions() < want:
+        if keys:
+            return df.repartition(want, *([keys] if isinstance(keys, str) else list(keys)))
         return df.repartition(want)
     return df

@@ -105,7 +105,7 @@ def words(df: DataFrame, text: str, stop: DataFrame | Sequence[str] = ("s",),
     runs, lower-cased; the stop list is removed with an anti join (a broadcast
     of the given list, which is a parameter of fixed size)."""
     from acreage.operators.partitioning import spread
-    toks = spread(df.select(text)).select(
+    toks = spread(df.select(text), text).select(
         F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), 0)).alias("word"))
     if not isinstance(stop, DataFrame):
         stop = df.sparkSession.createDataFrame([(s,) for s in stop], "word string")
