@@ -191,7 +191,10 @@ def _holdout_frame(spark, sf, cats=("sector", "property_type")):
     d = encode.ordinal_apply(ords, d, list(cats))
     cols = NUM + [f"{c}_code" for c in cats]
     x = VectorAssembler(inputCols=cols, outputCol="features").transform(d)
-    return x, cols
+    # every model fit iterates over this frame: materialise it once (reliable
+    # checkpoint) instead of re-running the join, split and encoders per pass
+    from acreage.session import cut_lineage
+    return cut_lineage(x), cols
 
 
 @query("forest_fit", ops="K10 K19 K12")
