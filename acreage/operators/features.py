@@ -113,8 +113,12 @@ def amenity_weights(df: DataFrame, key: str, arr: str, rate: str, min_count: int
     prem = F.when(F.col("n_present") > min_count,
                   F.greatest(F.col("median_present") - F.col("median_absent"), F.lit(0.0))).otherwise(F.lit(0.0))
     t = t.withColumn("premium", F.coalesce(prem, F.lit(0.0)))
-    mx = F.max("premium").over(Window.partitionBy())   # one row per amenity: bounded by the vocabulary
-    return t.withColumn("weight", F.when(mx > 0, F.col("premium") / mx).otherwise(F.col("premium")))
+    # largest premium: a one-row aggregate broadcast back (the amenity
+    # vocabulary can be large, so no global window)
+    mx = t.agg(F.max("premium").alias("__mx")).withColumn("__k", F.lit(1))
+    t = t.withColumn("__k", F.lit(1)).join(F.broadcast(mx), "__k").drop("__k")
+    return t.withColumn("weight", F.when(F.col("__mx") > 0, F.col("premium") / F.col("__mx"))
+                        .otherwise(F.col("premium"))).drop("__mx")
 
 
 def luxury_score(df: DataFrame, key: str, arr: str, weights: DataFrame, out: str = "luxury_score") -> DataFrame:
