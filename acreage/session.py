@@ -42,17 +42,22 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared checkpoint folder.
 
-    On a cluster the operator reads the folder the cluster names.  Only when the
-    setting is absent (local tests) do we pick a scratch folder of our own.
+    On a cluster the folder is the one named by ``spark.checkpoint.dir`` (or
+    already set on the SparkContext).  Only when neither is set (local tests)
+    do we pick a scratch folder of our own; the session conf is never
+    modified (core settings cannot be changed at run time).
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="acreage-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df):
