@@ -43,3 +43,23 @@ def test_latest_per_key_stream(spark):
     exp = {r["user_id"]: r["event_id"] for r in
            io.upsert_latest(events.limit(0), events, "user_id", ["ts", "event_id"]).collect()}
     assert got == exp
+
+
+def test_score_stream_matches_batch(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    orders = spark.read.parquet(f"{SF}/orders.parquet").select(
+        "o_orderkey", F.log1p(F.col("o_totalprice") / 1e5).alias("label"), (F.col("o_custkey") % 7).cast("double").alias("x"))
+    model = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), LinearRegression()]).fit(orders)
+    root = tempfile.mkdtemp(prefix="acreage-stream-")
+    orders.write.parquet(os.path.join(root, "in"))
+    stream = spark.readStream.schema(orders.schema).parquet(os.path.join(root, "in"))
+    scored = S.score_stream(stream, model, 0.15)
+    q = (scored.select("o_orderkey", "price", "low", "high").writeStream.format("memory").queryName("scored_orders")
+               .option("checkpointLocation", os.path.join(root, "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    from acreage.ml.train import predict_band
+    exp = {r["o_orderkey"]: (r["price"], r["high"]) for r in predict_band(model.transform(orders), 0.15).collect()}
+    got = {r["o_orderkey"]: (r["price"], r["high"]) for r in spark.sql("select * from scored_orders").collect()}
+    assert got == exp
