@@ -50,11 +50,29 @@ def ns_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(r, cond, how).drop(*ren.values())
 
 
+_ROWS_SEEN: dict = {}
+
+
+def row_count(df: DataFrame) -> int:
+    """Count rows once per distinct plan (keyed by the plan's semantic hash
+    within this Spark application), so several ordered operators over the same
+    input share one size check."""
+    try:
+        key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
+    except Exception:  # noqa: BLE001 - plans without a semantic hash are just counted
+        return df.count()
+    if key not in _ROWS_SEEN:
+        if len(_ROWS_SEEN) > 10_000:
+            _ROWS_SEEN.clear()
+        _ROWS_SEEN[key] = df.count()
+    return _ROWS_SEEN[key]
+
+
 def is_small(df: DataFrame, rows_per_bucket: int | None = None) -> bool:
-    """The size check behind every fast path: one count action.  When the
-    whole input has at most ``rows_per_bucket`` rows, any single group fits in
-    one task, so the built-in exact aggregates and plain windows are safe."""
-    return df.count() <= (rows_per_bucket or ROWS_PER_BUCKET)
+    """The size check behind every fast path: one count action per plan.
+    When the whole input has at most ``rows_per_bucket`` rows, any single
+    group fits in one task, so plain windows are safe."""
+    return row_count(df) <= (rows_per_bucket or ROWS_PER_BUCKET)
 
 
 def plan_splitters(df: DataFrame, value: str, rows_per_bucket: int | None = None,
@@ -72,7 +90,7 @@ def plan_splitters(df: DataFrame, value: str, rows_per_bucket: int | None = None
     if min_buckets > 1:
         # caller wants a finer split (e.g. per-group scans of one bucket);
         # worth it only when the input is not tiny
-        n0 = df.count()
+        n0 = row_count(df)
         if n0 <= min_buckets * 1000:
             return []
         rows_per_bucket = min(rows_per_bucket, max(1000, n0 // min_buckets))
@@ -81,7 +99,7 @@ def plan_splitters(df: DataFrame, value: str, rows_per_bucket: int | None = None
         small = is_small(df, rows_per_bucket) if checked_small is None else checked_small
     if small:
         return []
-    n = n0 if min_buckets > 1 else df.count()
+    n = n0 if min_buckets > 1 else row_count(df)
     want = min(max_buckets, max(2, min_buckets, math.ceil(n / rows_per_bucket)))
     # sketch only the splitters we need; accuracy 20x the bucket count keeps
     # bucket sizes within a few percent of each other
