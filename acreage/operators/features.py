@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from acreage.operators.ordered import plan_splitters, quantiles, running_total, value_counts, with_bucket
+from acreage.operators.ordered import plan_splitters, quantiles, value_counts, with_bucket
 
 
 def tag_union(frames: dict[str, DataFrame], tag_col: str = "property_type") -> DataFrame:
@@ -37,18 +37,20 @@ def multi_hot(df: DataFrame, arr: str, out: str = "features", vocab_size: int =
     return m, m.transform(df)
 
 
-def _complement_medians(df: DataFrame, present: DataFrame, value: str, group: str) -> DataFrame:
+def _complement_medians(df: DataFrame, present: DataFrame, value: str, group: str,
+                        hv: DataFrame | None = None, pv: DataFrame | None = None) -> DataFrame:
     """Median of ``value`` over the rows of ``df`` NOT in each group of
     ``present`` (present = (group, value) rows of df), without materialising
     the complement: complement histogram = all-rows histogram minus the
     group's histogram.  Bucket-level cumulative counts (at most B per group,
     arrays in-row) locate the bucket holding each target rank; only that
     bucket's distinct values are scanned exactly."""
-    hv = value_counts(df, value)                      # (v, _w)  all rows
+    hv = value_counts(df, value) if hv is None else hv                       # (v, _w)  all rows
+    pv = value_counts(present, value, group, out="_p") if pv is None else pv   # (g, v, _p)
     # finer buckets: each group scans only its target bucket's distinct values
     spl = plan_splitters(hv, value, min_buckets=128)
     hv = with_bucket(hv, value, spl)                  # (v, _w, _b)
-    pv = with_bucket(value_counts(present, value, group, out="_p"), value, spl)   # (g, v, _p, _b)
+    pv = with_bucket(pv, value, spl)                  # (g, v, _p, _b)
     hb = hv.groupBy("_b").agg(F.sum("_w").alias("_hb"))          # <= B rows: one bounded array
     h_arr = hb.agg(F.array_sort(F.collect_list(F.struct("_b", "_hb"))).alias("_h"))
     pb = (pv.groupBy(group, "_b").agg(F.sum("_p").alias("_pb"))
@@ -103,12 +105,19 @@ def amenity_weights(df: DataFrame, key: str, arr: str, rate: str, min_count: int
     weights are divided by the largest premium when it is positive.  Null
     rates are skipped by both medians.  Returns (amenity, n_present,
     median_present, median_absent, premium, weight)."""
+    from acreage.session import cut_lineage
     base = df.select(key, F.col(rate).alias("__rate"), arr)
     pres = base.select(key, "__rate", F.explode(F.array_distinct(F.col(arr))).alias("amenity")).where(
         F.col("amenity").isNotNull())
-    n_pres = pres.groupBy("amenity").agg(F.count(F.lit(1)).alias("n_present"))
-    med_p = quantiles(pres, "__rate", [0.5], "amenity", names=["median_present"])
-    med_a = _complement_medians(base, pres.select("amenity", "__rate"), "__rate", "amenity")
+    # Both value-count tables feed several branches: build each once.
+    # pv = (amenity, rate, rows) incl. null rates (for the present count);
+    # hv = (rate, rows) over all rows with a rate.
+    pv_all = cut_lineage(pres.groupBy("amenity", "__rate").agg(F.count(F.lit(1)).alias("_p")))
+    hv = cut_lineage(value_counts(base, "__rate"))
+    pv = pv_all.where(F.col("__rate").isNotNull())
+    n_pres = pv_all.groupBy("amenity").agg(F.sum("_p").alias("n_present"))
+    med_p = quantiles(pv, "__rate", [0.5], "amenity", names=["median_present"], weight="_p")
+    med_a = _complement_medians(base, pres.select("amenity", "__rate"), "__rate", "amenity", hv=hv, pv=pv)
     t = n_pres.join(med_p, "amenity", "left").join(med_a, "amenity", "left")
     prem = F.when(F.col("n_present") > min_count,
                   F.greatest(F.col("median_present") - F.col("median_absent"), F.lit(0.0))).otherwise(F.lit(0.0))

@@ -18,7 +18,7 @@ from acreage.plans.registry import query
 W = "WITH " + L_SQL
 
 
-def _price_text(_=None):
+def _price_text():
     k = F.floor("o_totalprice")
     cr = F.concat(F.lit("₹"), (k / 100000).cast("long").cast("string"), F.lit("."),
                   F.lpad(((k / 1000).cast("long") % 100).cast("string"), 2, "0"), F.lit(" Cr"))
@@ -46,7 +46,7 @@ def parse_price(spark, sf):
                     F.coalesce(F.col("price_text") != "Price on Request", F.lit(True)).alias("kept"))
 
 
-def _area_text(_=None):
+def _area_text():
     sqft = F.floor(F.col("l_extendedprice") / 10).cast("long")
     n = F.col("l_linenumber")
     kind = (F.when(n <= 2, F.lit("Super Built-up Area")).when(n <= 4, F.lit("Built-up Area"))
@@ -73,7 +73,7 @@ def parse_areas(spark, sf):
     return li.select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in P.areas("areawithtype").items()])
 
 
-def _age_text(_=None):
+def _age_text():
     k = F.col("o_orderkey") % 8
     y = F.year("o_orderdate").cast("string")
     return (F.when(k == 0, F.lit("0 to 1 Year Old")).when(k == 1, F.lit("1 to 5 Year Old"))
@@ -91,7 +91,7 @@ SELECT CASE o_orderkey % 8 WHEN 0 THEN 'New Property' WHEN 1 THEN 'Relatively Ne
 FROM orders GROUP BY 1
 """)
 def parse_age(spark, sf):
-    o = table(spark, sf, "orders").withColumn("property_age", _age_text(None))
+    o = table(spark, sf, "orders").withColumn("property_age", _age_text())
     return o.groupBy(P.age_band("property_age").alias("age_possession")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -61,6 +61,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint (survives executor loss); never a local checkpoint."""
+    """Reliable checkpoint into the shared checkpoint folder (survives executor
+    loss; never a local checkpoint).  The input is persisted for the duration
+    of the checkpoint so it is computed once: an eager checkpoint otherwise
+    computes its input a second time when the checkpoint files are written.
+    The returned frame reads only the checkpoint files, so the temporary
+    cache is released at once."""
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        out = cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
+    return out
