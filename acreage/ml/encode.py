@@ -115,7 +115,8 @@ def robust_scale(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None =
     out = df
     for c in cols:
         q = quantiles(src, c, [0.25, 0.5, 0.75], names=["__q1", "__med", "__q3"])
-        out = (out.withColumn("__k", F.lit(1)).join(F.broadcast(q.withColumn("__k", F.lit(1))), "__k").drop("__k"))
+        from acreage.operators.scalars import attach_row
+        out = attach_row(out, q)
         iqr = F.col("__q3") - F.col("__q1")
         out = out.withColumn(c, (F.col(c) - F.col("__med")) / F.when(iqr != 0, iqr).otherwise(F.lit(1.0))).drop(
             "__q1", "__med", "__q3")

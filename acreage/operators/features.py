@@ -55,7 +55,8 @@ def _complement_medians(df: DataFrame, present: DataFrame, value: str, group: st
     h_arr = hb.agg(F.array_sort(F.collect_list(F.struct("_b", "_hb"))).alias("_h"))
     pb = (pv.groupBy(group, "_b").agg(F.sum("_p").alias("_pb"))
             .groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_b", "_pb"))).alias("_pl")))
-    g = pb.withColumn("__k", F.lit(1)).join(F.broadcast(h_arr.withColumn("__k", F.lit(1))), "__k").drop("__k")
+    from acreage.operators.scalars import attach_row
+    g = attach_row(pb, h_arr)                         # the all-rows bucket histogram: one row of <= B entries
     # complement count per bucket for this group: hb - pb (pb = 0 where absent)
     comp = F.transform(F.col("_h"), lambda h: F.struct(
         h["_b"].alias("b"),
@@ -124,8 +125,8 @@ def amenity_weights(df: DataFrame, key: str, arr: str, rate: str, min_count: int
     t = t.withColumn("premium", F.coalesce(prem, F.lit(0.0)))
     # largest premium: a one-row aggregate broadcast back (the amenity
     # vocabulary can be large, so no global window)
-    mx = t.agg(F.max("premium").alias("__mx")).withColumn("__k", F.lit(1))
-    t = t.withColumn("__k", F.lit(1)).join(F.broadcast(mx), "__k").drop("__k")
+    from acreage.operators.scalars import attach_row
+    t = attach_row(t, t.agg(F.max("premium").alias("__mx")))
     return t.withColumn("weight", F.when(F.col("__mx") > 0, F.col("premium") / F.col("__mx"))
                         .otherwise(F.col("premium"))).drop("__mx")
 
@@ -148,7 +149,8 @@ def rarity_score(df: DataFrame, key: str, arr: str, out: str = "rarity_score") -
     s = lng.join(dfreq, "amenity").groupBy(key).agg(F.sum(1.0 / F.col("__df")).alias("__s"))
     s = df.select(key).distinct().join(s, key, "left").fillna(0.0, ["__s"])
     mm = s.agg(F.min("__s").alias("__mn"), F.max("__s").alias("__mx"))
-    j = s.withColumn("__k", F.lit(1)).join(F.broadcast(mm.withColumn("__k", F.lit(1))), "__k")
+    from acreage.operators.scalars import attach_row
+    j = attach_row(s, mm)
     return j.select(key, F.when(F.col("__mx") > F.col("__mn"),
                                 (F.col("__s") - F.col("__mn")) / (F.col("__mx") - F.col("__mn")))
                     .otherwise(F.lit(0.0)).alias(out))

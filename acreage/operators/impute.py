@@ -17,8 +17,8 @@ from acreage.operators.ordered import ns_join, quantiles
 
 def _one_row(df: DataFrame, row: DataFrame) -> DataFrame:
     # ``row`` is a global aggregate: exactly one row, broadcast by construction.
-    return (df.withColumn("__k", F.lit(1))
-              .join(F.broadcast(row.withColumn("__k", F.lit(1))), "__k").drop("__k"))
+    from acreage.operators.scalars import attach_row
+    return attach_row(df, row)
 
 
 def missing_flags(df: DataFrame, cols: Sequence[str], suffix: str = "_missing") -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 
 def _one_row(df: DataFrame, row: DataFrame) -> DataFrame:
-    return (df.withColumn("__k", F.lit(1))
-              .join(F.broadcast(row.withColumn("__k", F.lit(1))), "__k").drop("__k"))
+    from acreage.operators.scalars import attach_row
+    return attach_row(df, row)
 
 
 def feature_stds(df: DataFrame, cols) -> DataFrame:

@@ -110,7 +110,9 @@ def plan_splitters(df: DataFrame, value: str, rows_per_bucket: int | None = None
 
 def with_bucket(df: DataFrame, value: str, splitters: Sequence[float], out: str = "_b") -> DataFrame:
     if not splitters:
-        return df.withColumn(out, F.lit(0.0))
+        # one bucket; a column expression (not a literal) so joins on the
+        # bucket id stay equi-joins instead of being folded into cross joins
+        return df.withColumn(out, F.when(F.col(value).isNull(), F.lit(-1.0)).otherwise(F.lit(0.0)))
     tmp = "__bucket_in"
     bz = Bucketizer(splits=[-math.inf, *splitters, math.inf], inputCol=tmp, outputCol=out,
                     handleInvalid="keep")

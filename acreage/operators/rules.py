@@ -93,7 +93,8 @@ def iqr_flag(df: DataFrame, c: str, k_lo: float = 1.5, k_hi: float = 1.5, out: s
     """Attach the global fences (a one-row table, broadcast by construction)
     and flag rows outside them; nulls are not outliers."""
     f = iqr_fences(df, c, k_lo, k_hi).select("lower_fence", "upper_fence")
-    j = df.withColumn("__k", F.lit(1)).join(F.broadcast(f.withColumn("__k", F.lit(1))), "__k").drop("__k")
+    from acreage.operators.scalars import attach_row
+    j = attach_row(df, f)
     v = F.col(c)
     return j.withColumn(out, F.coalesce((v < F.col("lower_fence")) | (v > F.col("upper_fence")), F.lit(False)))
 

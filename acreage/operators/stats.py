@@ -21,8 +21,8 @@ def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def _one_row_join(left: DataFrame, right: DataFrame) -> DataFrame:
     # Both sides have exactly one row (global aggregates): join on a constant key.
-    return (left.withColumn("__k", F.lit(1))
-                .join(F.broadcast(right.withColumn("__k", F.lit(1))), "__k").drop("__k"))
+    from acreage.operators.scalars import attach_row
+    return attach_row(left, right)
 
 
 def describe(df: DataFrame, c: str, by=None) -> DataFrame:

@@ -126,9 +126,9 @@ def share(df: DataFrame, c: str, top: int | None = 5, digits: int = 2) -> DataFr
     g = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
     # the total is a one-row aggregate (broadcast by construction), not a
     # global window that would pull every distinct value into one task
-    tot = g.agg(F.sum("n").alias("__tot")).withColumn("__k", F.lit(1))
-    g = (g.withColumn("__k", F.lit(1)).join(F.broadcast(tot), "__k")
-          .withColumn("share", F.round(F.col("n") / F.col("__tot"), digits)).drop("__k", "__tot"))
+    from acreage.operators.scalars import attach_row
+    g = (attach_row(g, g.agg(F.sum("n").alias("__tot")))
+          .withColumn("share", F.round(F.col("n") / F.col("__tot"), digits)).drop("__tot"))
     g = g.orderBy(F.col("n").desc(), F.col(c))
     return g.limit(top) if top else g
 
