@@ -47,3 +47,16 @@ def test_running_total_bucketed(spark, force_buckets):
         # running total is monotone in value
         part = part.sort_values(["v", "_cum"])
         assert part["_cum"].is_monotonic_increasing
+
+
+def test_hot_group_is_split_across_buckets(spark, force_buckets):
+    """One key holds 60% of the rows: its values are spread over many value
+    buckets, and no (group, bucket) window holds much more than the target
+    bucket size (here 500 rows)."""
+    df = _data(spark, 20000, 4).where(F.col("g").isNotNull())
+    spl = ordered.plan_splitters(df, "v")
+    assert len(spl) > 10
+    b = ordered.with_bucket(df, "v", spl).groupBy("g", "_b").count()
+    hot = b.where(F.col("g") == "hot")
+    assert hot.count() > 10
+    assert b.agg(F.max("count")).first()[0] <= 3 * ordered.ROWS_PER_BUCKET
