@@ -195,14 +195,10 @@ class FurnishClusters:
         return self
 
     def _labels_from_centers(self):
-        km = self.model.stages[-1]
-        scaler = self.model.stages[1]
-        centers = km.clusterCenters()
-        # rank by the centroid sum in the original count scale (monotone in the
-        # scaled sum up to the per-item scale; use original units like the reference)
-        std, mean = scaler.std.toArray(), scaler.mean.toArray()
-        totals = [float(sum(c[i] * (std[i] if std[i] > 0 else 1.0) + mean[i] for i in range(len(c))))
-                  for c in centers]
+        # clusters ranked by the sum of their centroid coordinates in the
+        # standardised space the model was fitted in (most items first)
+        centers = self.model.stages[-1].clusterCenters()
+        totals = [float(sum(c)) for c in centers]
         order = sorted(range(len(centers)), key=lambda i: -totals[i])
         self.label_of = {cid: self.labels[min(r, len(self.labels) - 1)] for r, cid in enumerate(order)}
 

@@ -34,7 +34,8 @@ PROJECT = T.StructType([T.StructField(c, T.StringType(), True) for c in PROJECT_
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, corrupt: bool = False) -> DataFrame:
     """A1: header CSV with a declared schema; quoted fields may span lines and
     contain commas.  A missing path raises (the reference returned None)."""
-    if not path.startswith(("s3", "gs", "abfs", "hdfs", "dbfs")) and not os.path.exists(path):
+    local = path[len("file:"):] if path.startswith("file:") else (None if "://" in path else path)
+    if local is not None and not os.path.exists(local):
         raise FileNotFoundError(path)
     sch = schema
     opts = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"', "mode": "PERMISSIVE"}
