@@ -186,7 +186,7 @@ def map_explode(spark, sf):
     return x.groupBy("event_type", "key").agg(F.sum("value").cast("long").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-PRICE_DETAILS_SCHEMA = ("map<string, struct<building_type: string, area: string, `price-range`: string>>")
+PRICE_DETAILS_SCHEMA = P.PRICE_DETAILS_SCHEMA
 
 
 def _price_details_text():
@@ -206,29 +206,6 @@ def _price_details_text():
     return F.concat(F.lit("{"), e1, F.lit(", "), e2, F.lit("}"))
 
 
-def price_profile_cols(c: str):
-    """B16 summary columns of a PriceDetails map column (in-row, no shuffle)."""
-    ent = F.map_entries(F.col(c))
-    prices = F.flatten(F.transform(ent, lambda e: F.transform(
-        F.regexp_extract_all(e["value"]["price-range"], F.lit(r"[\d.]+"), 0),
-        lambda x: x.try_cast("double") / F.when(e["value"]["price-range"].contains("L"), 100.0).otherwise(1.0))))
-    areas = F.flatten(F.transform(ent, lambda e: F.transform(
-        F.regexp_extract_all(e["value"]["area"], F.lit(r"[\d,]+"), 0),
-        lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double"))))
-    bhks = F.filter(F.transform(ent, lambda e: F.regexp_substr(e["key"], F.lit(r"\d+")).try_cast("int")),
-                    lambda x: x.isNotNull())
-
-    def mean(a):
-        return F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x) / F.size(a))
-
-    return {
-        "min_price_cr": F.array_min(prices), "max_price_cr": F.array_max(prices), "avg_price_cr": mean(prices),
-        "min_area_sqft": F.array_min(areas), "max_area_sqft": F.array_max(areas), "avg_area_sqft": mean(areas),
-        "min_bhk": F.array_min(bhks), "max_bhk": F.array_max(bhks),
-        "property_type": F.get(ent, 0)["value"]["building_type"],
-    }
-
-
 @query("price_profile", ops="B16", sql="""
 WITH x AS (SELECT p_partkey, p_size AS s, floor(p_retailprice) - 850 AS p1, p_type FROM part)
 , y AS (SELECT p_partkey, s, p_type, p1 / 100.0 AS a, (s // 10 + (s % 10) / 10.0) / 100.0 AS b,
@@ -247,7 +224,7 @@ FROM y
 def price_profile(spark, sf):
     p = table(spark, sf, "part").withColumn(
         "details", P.decode_literal(_price_details_text(), PRICE_DETAILS_SCHEMA, empty=False))
-    cols = price_profile_cols("details")
+    cols = P.price_profile("details")
     return round_doubles(p.select("p_partkey", *[c.alias(n) for n, c in cols.items()]))
 
 
