@@ -281,5 +281,5 @@ def score_buckets(df: DataFrame, score: str, target: str, q: int) -> DataFrame:
     """Mean / median of target per quantile bucket of score."""
     from acreage.operators.impute import qcut
     b = qcut(df, score, q, out="__bucket")
-    return group_stats(b.where(F.col("__bucket").isNotNull()), target, "__bucket",
-                       ("count", "mean", "median")).withColumnRenamed("__bucket", "bucket")
+    return group_stats(b.where(F.col("__bucket_code").isNotNull()), target, "__bucket_code",
+                       ("count", "mean", "median")).withColumnRenamed("__bucket_code", "bucket")

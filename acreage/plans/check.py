@@ -38,6 +38,17 @@ def digest(pdf: pd.DataFrame) -> tuple[int, list[str], str]:
     return len(rows), cols, hashlib.md5("\n".join(rows).encode()).hexdigest()
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                 "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def type_diffs(spark_df, con, sql: str) -> list:
+    """Columns whose Spark type and DuckDB type differ."""
+    st = {f.name: f.dataType.simpleString() for f in spark_df.schema.fields}
+    dd = {d[0]: d[1] for d in con.execute(f"DESCRIBE ({sql})").fetchall()}
+    return [(c, st[c], dd.get(c)) for c in st if SPARK_TO_DUCK.get(st[c], st[c]) != dd.get(c)]
+
+
 def duck(sf_dir: str):
     con = duckdb.connect()
     for t in TABLES:
@@ -59,7 +70,8 @@ def main(argv=None):
     for n in names:
         t0 = time.time()
         try:
-            sp = qs[n](spark, a.sf).toPandas()
+            sdf = qs[n](spark, a.sf)
+            sp = sdf.toPandas()
         except Exception as e:  # noqa: BLE001
             print(f"FAIL-SPARK {n}: {str(e)[:400]}")
             bad += 1
@@ -75,7 +87,10 @@ def main(argv=None):
             bad += 1
             continue
         a1, a2 = digest(sp), digest(du)
-        ok = a1 == a2
+        td = type_diffs(sdf, con, orc[n])
+        ok = a1 == a2 and not td
+        if td:
+            print(f"   type differences: {td}")
         bad += not ok
         print(f"{'ok ' if ok else 'MISMATCH'} {n}: spark {a1[0]} rows {dt:.1f}s, duck {a2[0]} rows"
               + ("" if ok else f"\n   spark cols {a1[1]}\n   duck  cols {a2[1]}"))

@@ -70,7 +70,7 @@ def _impacts(spark, sf):
 
 
 @query("price_impact", ops="L1 L2 E26 E27", sql=M_SQL + """
-SELECT scenario, feature, delta, round(lc, 6) AS log_change, round((exp(lc) - 1) * 100, 6) AS pct_change,
+SELECT scenario, feature, CAST(delta AS DOUBLE) AS delta, round(lc, 6) AS log_change, round((exp(lc) - 1) * 100, 6) AS pct_change,
        round(base_price_rs * (exp(lc) - 1), 4) AS abs_change, round(base_price_rs * (exp(lc) - 1) / 1e5, 6) AS lakh_change
 FROM I
 """)

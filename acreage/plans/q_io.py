@@ -93,8 +93,8 @@ SELECT page_id,
   nullif(regexp_extract(html, '<html[^>]*\\blang="([^"]*)"', 1), '') AS lang,
   nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '') AS title,
   nullif(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '') AS h1,
-  len(regexp_extract_all(html, '<a\\s[^>]*href=')) AS n_links,
-  len(regexp_extract_all(html, '<p>')) AS n_paragraphs
+  CAST(len(regexp_extract_all(html, '<a\\s[^>]*href=')) AS INTEGER) AS n_links,
+  CAST(len(regexp_extract_all(html, '<p>')) AS INTEGER) AS n_paragraphs
 FROM pages
 """)
 def html_fields(spark, sf):

@@ -38,7 +38,7 @@ e AS (SELECT list_sort(list_distinct(quantile_cont(o_totalprice, [0.0, 0.2, 0.4,
 @query("strat_split", ops="K3 K1", sql="WITH " + QCUT5_SQL + f"""
 , r AS (SELECT o_orderkey, price_bin, row_number() OVER (PARTITION BY price_bin ORDER BY {HASH_SQL}, o_orderkey) AS rk,
                count(*) OVER (PARTITION BY price_bin) AS n FROM b)
-SELECT o_orderkey, price_bin, rk <= floor(n * 0.2 + 0.5) AS is_test FROM r
+SELECT o_orderkey, CAST(price_bin AS INTEGER) AS price_bin, rk <= floor(n * 0.2 + 0.5) AS is_test FROM r
 """)
 def strat_split(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")

@@ -215,7 +215,7 @@ SELECT p_partkey,
   round(CASE WHEN c IS NULL THEN least(a, b) ELSE least(a, b, c, d) END, 6) AS min_price_cr,
   round(CASE WHEN c IS NULL THEN greatest(a, b) ELSE greatest(a, b, c, d) END, 6) AS max_price_cr,
   round(CASE WHEN c IS NULL THEN (a + b) / 2 ELSE (((a + b) + c) + d) / 4 END, 6) AS avg_price_cr,
-  round(least(s * 40.0, s * 50.0, s * 60.0), 6) AS min_area_sqft, round(greatest(s * 40.0, s * 50.0, s * 60.0), 6) AS max_area_sqft,
+  CAST(least(s * 40, s * 50, s * 60) AS DOUBLE) AS min_area_sqft, CAST(greatest(s * 40, s * 50, s * 60) AS DOUBLE) AS max_area_sqft,
   round(((s * 40.0 + s * 50.0) + s * 60.0) / 3, 6) AS avg_area_sqft,
   s % 4 + 1 AS min_bhk, s % 4 + 2 AS max_bhk,
   CASE WHEN p_type = 'LARGE' THEN 'Villa' ELSE 'Apartment' END AS property_type

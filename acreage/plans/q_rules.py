@@ -246,7 +246,7 @@ WITH e AS (SELECT list_sort(list_distinct(quantile_cont(o_totalprice, [0.0, 0.2,
 , b AS (SELECT o_totalprice AS v, greatest(len(list_filter(edges, lambda x: x < o_totalprice)) - 1, 0) AS code, edges
         FROM orders, e WHERE o_totalprice >= edges[1] AND o_totalprice <= edges[len(edges)])
 SELECT CASE WHEN len(edges) - 1 = 5 THEN ['very low', 'low', 'mid', 'high', 'very high'][code + 1]
-            ELSE 'bin_' || code END AS bin, code AS bin_code,
+            ELSE 'bin_' || code END AS bin, CAST(code AS INTEGER) AS bin_code,
        count(*) AS n, round(min(v), 6) AS min_v, round(max(v), 6) AS max_v
 FROM b GROUP BY ALL
 """)

@@ -193,7 +193,7 @@ WITH b AS (SELECT least(CAST(floor((o_totalprice - 0) / 25000.0) AS INTEGER), 19
            FROM orders WHERE o_totalprice BETWEEN 0 AND 500000),
 bins AS (SELECT CAST(range AS INTEGER) AS bin FROM range(20)),
 c AS (SELECT bins.bin, count(b.bin) AS count FROM bins LEFT JOIN b ON bins.bin = b.bin GROUP BY bins.bin)
-SELECT bin, round(0 + bin * 25000.0, 6) AS bin_lo, round(0 + (bin + 1) * 25000.0, 6) AS bin_hi, count,
+SELECT bin, CAST(round(0 + bin * 25000.0, 6) AS DOUBLE) AS bin_lo, CAST(round(0 + (bin + 1) * 25000.0, 6) AS DOUBLE) AS bin_hi, count,
        round(count / (sum(count) OVER () * 25000.0), 12) AS density
 FROM c
 """)

@@ -6,7 +6,7 @@ oracle must run and return rows."""
 import pytest
 
 from acreage.plans.catalog import oracle_sql, queries
-from acreage.plans.check import digest, duck
+from acreage.plans.check import digest, duck, type_diffs
 
 SF = "/root/testdata/sf0.001"
 ORACLE = oracle_sql()
@@ -21,9 +21,11 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
-    got = queries()[name](spark, SF).toPandas()
+    sdf = queries()[name](spark, SF)
+    got = sdf.toPandas()
     exp = con.execute(ORACLE[name]).df()
     assert digest(got) == digest(exp)
+    assert type_diffs(sdf, con, ORACLE[name]) == []
 
 
 @pytest.mark.parametrize("name", sorted(set(queries()) - set(ORACLE)))
