@@ -106,24 +106,17 @@ def amenity_weights(df: DataFrame, key: str, arr: str, rate: str, min_count: int
     weights are divided by the largest premium when it is positive.  Null
     rates are skipped by both medians.  Returns (amenity, n_present,
     median_present, median_absent, premium, weight)."""
-    from acreage.session import cut_lineage
     base = df.select(key, F.col(rate).alias("__rate"), arr)
     pres = base.select(key, "__rate", F.explode(F.array_distinct(F.col(arr))).alias("amenity")).where(
         F.col("amenity").isNotNull())
-    # Both value-count tables feed several branches: build each once.
-    # pv = (amenity, rate, rows) incl. null rates (for the present count);
-    # hv = (rate, rows) over all rows with a rate.
-    pv_all = cut_lineage(pres.groupBy("amenity", "__rate").agg(F.count(F.lit(1)).alias("_p")))
-    hv = cut_lineage(value_counts(base, "__rate"))
-    pv = pv_all.where(F.col("__rate").isNotNull())
-    n_pres = pv_all.groupBy("amenity").agg(F.sum("_p").alias("n_present"))
-    med_p = quantiles(pv, "__rate", [0.5], "amenity", names=["median_present"], weight="_p")
-    med_a = _complement_medians(base, pres.select("amenity", "__rate"), "__rate", "amenity", hv=hv, pv=pv)
+    n_pres = pres.groupBy("amenity").agg(F.count(F.lit(1)).alias("n_present"))
+    med_p = quantiles(pres, "__rate", [0.5], "amenity", names=["median_present"])
+    med_a = _complement_medians(base, pres.select("amenity", "__rate"), "__rate", "amenity")
     t = n_pres.join(med_p, "amenity", "left").join(med_a, "amenity", "left")
     prem = F.when(F.col("n_present") > min_count,
                   F.greatest(F.col("median_present") - F.col("median_absent"), F.lit(0.0))).otherwise(F.lit(0.0))
     t = t.withColumn("premium", F.coalesce(prem, F.lit(0.0)))
-    # largest premium: a one-row aggregate broadcast back (the amenity
+    # largest premium: a one-row aggregate attached as a scalar subquery (the amenity
     # vocabulary can be large, so no global window)
     from acreage.operators.scalars import attach_row
     t = attach_row(t, t.agg(F.max("premium").alias("__mx")))
