@@ -45,15 +45,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder.
 
     On a cluster the folder is the one named by ``spark.checkpoint.dir`` (or
-    already set on the SparkContext).  Only when neither is set (local tests)
-    do we pick a scratch folder of our own; the session conf is never
-    modified (core settings cannot be changed at run time).
+    already set on the SparkContext).  Only when neither is set and the master
+    is ``local`` (tests) do we pick a scratch folder of our own; elsewhere a
+    missing setting is an error, since other machines could not see the folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not d and not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="acreage-ckpt-")
     sc.setCheckpointDir(d)
