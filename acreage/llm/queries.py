@@ -32,3 +32,10 @@ def op5_token_files(spark, sf_dir):
     manifest = token_files.write(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2)
     rows = token_files.read(manifest).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return token_files.with_starts(rows, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op7_quality_rules(spark, sf_dir):
+    from acreage.llm import quality
+    return quality.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
