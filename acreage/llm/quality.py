@@ -33,9 +33,11 @@ SYMBOLS = "#*$%&|<>"
 ACCURACY = 0.01
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
 LEAST_VALUE = 1e-6                      # smaller values share the lowest bin
-# measure -> (least spread, is there a lower threshold too)
-RATIOS = {"symbols_per_word": (0.02, False), "dup_line_share": (0.05, False),
-          "repeat_word_share": (0.05, False), "word_length": (0.25, True)}
+# measure -> (least spread, is there a lower threshold too).  A least spread keeps groups
+# without variation from rejecting ordinary rows: three times it is about the cutoff of
+# published rule sets (0.1 symbols a word, 0.3 of lines, 0.2 of words, 1 character).
+RATIOS = {"symbols_per_word": (0.033, False), "dup_line_share": (0.1, False),
+          "repeat_word_share": (0.067, False), "word_length": (0.33, True)}
 
 
 def measures(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", source: str = "source") -> DataFrame:

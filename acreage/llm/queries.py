@@ -39,3 +39,12 @@ def op7_quality_rules(spark, sf_dir):
     from acreage.llm import quality
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op4_secret_scan(spark, sf_dir):
+    from acreage.llm import secrets
+    rows = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["o"] < len(secrets.BASE))
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{r.kind}')) as long)").alias(f"n_{r.kind}") for r in secrets.BASE]
+    return rows.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
