@@ -129,6 +129,7 @@ def pack(items: DataFrame, capacity: int = 2048, length: str = "length", order:
                                              names=[*batch.schema.names, "_part", "_rank"])
 
     keys = [F.col(length).desc(), *map(F.col, order)]
+    items = stored(items, "pieces")            # the range sort reads its input twice
     ranked = stored(items.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(rank, schema), "ranked")
     # at most one row for each length and partition border
     runs = ranked.groupBy(F.col(length).cast("bigint").alias("n"), "_part").agg(F.count("*").alias("c")).toArrow().to_pydict()
