@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from acreage.llm.common import table
-from acreage.llm.token_path import BYTE_BPE
+from acreage.llm.token_path import BYTE_BPE, PIECES_32K
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -48,3 +48,40 @@ def op4_secret_scan(spark, sf_dir):
     base = F.filter("spans", lambda s: s["o"] < len(secrets.BASE))
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{r.kind}')) as long)").alias(f"n_{r.kind}") for r in secrets.BASE]
     return rows.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op6_line_dedup(spark, sf_dir):
+    from acreage.llm import lines
+    rows = lines.remove(table(spark, sf_dir, "documents"), least_sites=10)
+    return rows.select("doc_id", F.col("_lines.total").alias("n_lines"), F.col("_lines.removed").alias("n_removed"),
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLE["op6_line_dedup"] = """
+WITH lines AS (
+  SELECT doc_id, source, i, raw, trim(raw, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) AS line
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+), bad AS (
+  SELECT line FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10
+), marked AS (
+  SELECT l.*, b.line IS NOT NULL AS gone FROM lines l LEFT JOIN bad b ON l.line = b.line
+)
+SELECT doc_id, count(*) FILTER (WHERE line <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+       sha256(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+@query
+def op8_decontamination(spark, sf_dir):
+    from acreage.llm import decontaminate
+    rows = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op10_token_counts(spark, sf_dir):
+    from acreage.llm import token_counts
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECES_32K)
