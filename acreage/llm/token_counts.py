@@ -5,7 +5,8 @@ The dynamic program keeps the best score and the number of pieces for each prefi
 path: a count is all that is asked for.  Ties and unknown characters follow the
 tokenizers library's unigram model: a later candidate must be strictly better, candidates
 of one end come in order of their start, a character that is no piece itself may be
-unknown (score: the least of the vocabulary minus 10) and counts as its UTF-8 bytes.
+unknown (score: the least of the vocabulary minus 10) and counts as its UTF-8 bytes.  The
+unknown piece's own name in a text belongs to a run of unknown characters; alone it is one token.
 Spaces become the word mark, which begins each word; words are independent, and each
 different word is solved once.
 
@@ -50,6 +51,7 @@ class Counter:
             if piece and not self.pieces.exists(piece):
                 self.pieces.add_word(piece, (len(piece), score))
         self.pieces.make_automaton()
+        self.unknown_piece = vocab[0][0]
         self.unknown = min(s for _, s in vocab) - UNKNOWN_PENALTY
         self.most_known = most_known
         self.keys, self.counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
@@ -64,17 +66,27 @@ class Counter:
             if size == 1:
                 single[last] = True
         best, tokens = [0.0] * (n + 1), [0] * (n + 1)
+        run = [0] * (n + 1)                                     # bytes of the run of unknowns that ends here; -1: its name alone
+        name = self.unknown_piece
         for end in range(1, n + 1):
-            top = None
+            top, at, unknown = None, end, False
             for size, score in ends[end]:
                 s = score + best[end - size]
                 if top is None or s > top:
-                    top, tokens[end] = s, tokens[end - size] + 1
+                    top, at, unknown = s, end - size, size == len(name) and word[end - size:end] == name
             if not single[end - 1]:
                 s = self.unknown + best[end - 1]
                 if top is None or s > top:
-                    top, tokens[end] = s, tokens[end - 1] + len(word[end - 1].encode())
+                    top, at, unknown = s, end - 1, True
             best[end] = top
+            if unknown:
+                before = tokens[at] - (run[at] if run[at] != -1 else 1)
+                size = len(word[at:end].encode())
+                whole = (len(name) if run[at] == -1 else run[at]) + size
+                alone = not run[at] and end - at == len(name)
+                run[end], tokens[end] = (-1, before + 1) if alone else (whole, before + whole)
+            else:
+                tokens[end] = tokens[at] + 1
         return tokens[n]
 
     def of_words(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
