@@ -85,3 +85,12 @@ def op8_decontamination(spark, sf_dir):
 def op10_token_counts(spark, sf_dir):
     from acreage.llm import token_counts
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECES_32K)
+
+
+@query
+def op2_language_id(spark, sf_dir):
+    from acreage.llm import language
+    docs = table(spark, sf_dir, "documents")
+    rows = language.predict(docs.select("doc_id", "text"), language.train(docs))
+    return rows.select("doc_id", language.is_held_out().alias("held_out"), F.col("_lang.pred").alias("lang_pred"),
+                       F.col("_lang.score").alias("score"), F.col("_lang.rejected").alias("rejected"))
