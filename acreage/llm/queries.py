@@ -94,3 +94,9 @@ def op2_language_id(spark, sf_dir):
     rows = language.predict(docs.select("doc_id", "text"), language.train(docs))
     return rows.select("doc_id", language.is_held_out().alias("held_out"), F.col("_lang.pred").alias("lang_pred"),
                        F.col("_lang.score").alias("score"), F.col("_lang.rejected").alias("rejected"))
+
+
+@query
+def op3_ngram_jaccard_join(spark, sf_dir):
+    from acreage.llm import jaccard
+    return jaccard.similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
