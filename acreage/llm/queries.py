@@ -30,8 +30,7 @@ def op1_best_fit_packing(spark, sf_dir):
 def op5_token_files(spark, sf_dir):
     from acreage.llm import token_files
     manifest = token_files.write(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2)
-    rows = token_files.read(manifest).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return token_files.with_starts(rows, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_files.read(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 @query
@@ -100,3 +99,12 @@ def op2_language_id(spark, sf_dir):
 def op3_ngram_jaccard_join(spark, sf_dir):
     from acreage.llm import jaccard
     return jaccard.similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op9_repeated_strings(spark, sf_dir):
+    from acreage.llm import repeats
+    rows = repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return rows.select("doc_id", n.alias("n_bytes"), (n - F.octet_length("_kept")).alias("n_removed"),
+                       F.size("_spans").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
