@@ -34,7 +34,7 @@ from acreage.llm.tokens import encoder
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1   # fixed values of the zstd seekable format
 NO_KEY = -(1 << 63)                            # stands for a null key in the directory frame
 MANIFEST = "shard int, path string, n_docs bigint, n_ids bigint, first_doc bigint, last_doc bigint"
-DOCUMENTS = "shard int, offset bigint, doc_id bigint, n_tokens bigint, ids binary"
+DOCUMENTS = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -143,8 +143,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, level: int = 3, fold
 
 
 def read(manifest: DataFrame, wanted: list[int] | None = None) -> DataFrame:
-    """Documents of the files of a manifest: shard, ids before it in the file, key, number of ids, ids.
-    With ``wanted`` (a list of keys that the caller states) only their frames are read."""
+    """Documents of the files of a manifest: key, number of ids of all documents before, number of ids,
+    ids.  The place in a file comes from its seek table, that of a file from the manifest.  With ``wanted`` (a list of keys that the caller states) only their frames are read."""
+    before = F.sum("n_ids").over(Window.orderBy("shard")) - F.col("n_ids")       # one row for each file
+    manifest = manifest.withColumn("before", before)
     if wanted is not None:
         wanted = sorted(set(wanted))
         near = F.lit(False)
@@ -155,34 +157,28 @@ def read(manifest: DataFrame, wanted: list[int] | None = None) -> DataFrame:
 
     def decode(batches):
         for batch in batches:
-            for number, uri in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for uri, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 fs, place = file_system(uri)
                 with fs.open_input_file(place) as file:
                     reader = Reader(file)
                     keys = reader.keys()
                     frames = np.arange(len(keys)) if wanted is None else np.flatnonzero(np.isin(keys, wanted))
-                    offset = (np.cumsum(reader.plain) - reader.plain) // 4
+                    start = before + (np.cumsum(reader.plain) - reader.plain) // 4
                     rows, size = [], 0
                     for i, data in reader.documents(frames):
-                        rows.append((number, int(offset[i]), None if keys[i] == NO_KEY else int(keys[i]), len(data) // 4, data))
+                        rows.append((None if keys[i] == NO_KEY else int(keys[i]), int(start[i]), len(data) // 4, data))
                         size += len(data)
                         if size > 4 << 20:
                             yield _batch(rows)
                             rows, size = [], 0
                     yield _batch(rows)
 
-    files = manifest.select("shard", "path").repartition("shard", "path")
+    files = manifest.select("path", "before").repartition(max(1, manifest.count()))       # a task for each file
     return files.mapInArrow(decode, DOCUMENTS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (("shard", pa.int32()), ("offset", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()))
+    kinds = (("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()))
     cols = list(zip(*rows)) or [()] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds)], names=[n for n, _ in kinds])
 
-
-def with_starts(documents: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Adds ``start``: ids of all documents before, in key order.  The place inside a file
-    comes from its seek table, that of a file from the manifest (one row for each file)."""
-    before = manifest.select("shard", (F.sum("n_ids").over(Window.orderBy("shard")) - F.col("n_ids")).alias("before"))
-    return documents.join(before, "shard").withColumn("start", F.col("before") + F.col("offset")).drop("before")

@@ -120,7 +120,7 @@ def test_packing_empty_table(spark):
 def test_token_files_round_trip(spark):
     rows = fixture_rows()
     manifest = token_files.write(spark.createDataFrame(rows, SCHEMA), BYTE_BPE, end_id=2)
-    got = token_files.with_starts(token_files.read(manifest), manifest).orderBy("start").collect()
+    got = token_files.read(manifest).orderBy("start").collect()
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
     ids = [x + [2] for x in plain_encode([r[1] or "" for r in rows])]
     start = 0
@@ -147,4 +147,4 @@ def test_token_file_is_public_format_and_checked(spark, tmp_path):
 
 def test_token_files_empty_table(spark):
     manifest = token_files.write(spark.createDataFrame([], SCHEMA), BYTE_BPE)
-    assert token_files.with_starts(token_files.read(manifest), manifest).count() == 0
+    assert token_files.read(manifest).count() == 0
