@@ -141,3 +141,11 @@ def report(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5
             .select("row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                     F.coalesce("each", F.expr("cast(array() as array<struct<start:int,stop:int>>)")).alias("spans"),
                     F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")))
+
+
+def drop_hit(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5, text: str = "text", key: str = "doc_id", **names: str) -> DataFrame:
+    """The documents in which no window occurs."""
+    same = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("_row"), F.col(text).alias("_text"))
+    documents, matches, _ = find_windows(same, items, window, shingle, doc_text="_text", doc_key="_row", **names)
+    hit = documents.join(matches.select("row").distinct(), "row", "left_semi").select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(hit, F.xxhash64(F.col(key), F.col(text)) == F.col("_hit"), "left_anti")

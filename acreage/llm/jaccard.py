@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from acreage.llm.common import bitmap, in_bitmap, list_array, mix, shingle_hashes, stored, text_bytes, word_hashes
@@ -135,11 +135,13 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int,
 
 
 def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per document: doc_id, text_id, n_shingles, component_id.  Similarity of at least num / den."""
+    """Per document: doc_id, text_id, n_shingles, component_id, kept (it is the component's least row, by
+    doc_id, then text_id).  Similarity of at least num / den."""
     shared = docs.sparkSession.sparkContext.broadcast(frequency(docs, shingle, text))       # 2^SLOTS bytes
     every = stored(prefixes(docs, shared, shingle, num, den, text, key), "prefixes")
     some = every.where("set_id is not null")
-    classes = stored(some.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("text_id").alias("text_id"), F.min("n").alias("n")), "classes")
+    classes = stored(some.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("text_id").alias("text_id"), F.min("n").alias("n"),
+                                                    F.min(F.struct("doc_id", "text_id")).alias("row")), "classes")
     reps = some.join(classes.select("set_id", "text_id"), ["set_id", "text_id"], "left_semi").select("set_id", "n", "prefix")
 
     # prefix tokens of more than one class
@@ -187,17 +189,21 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, text:
     else:
         final = components(links.unionByName(more))
     least = (classes.join(final.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-             .select("set_id", "root", "least"))
-    of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = least.join(of_root, "root").select("set_id", "component_id")
+             .select("set_id", "root", "least", "row"))
+    of_root = least.groupBy("root").agg(F.min("least").alias("component_id"), F.min("row").alias("row"))
+    named = least.drop("least", "row").join(of_root, "root").select("set_id", "component_id", "row")
+    kept = F.col("set_id").isNull() | (F.struct("doc_id", "text_id") == F.col("row"))
     return (every.select("doc_id", "text_id", F.col("n").alias("n_shingles"), "set_id").join(named, "set_id", "left")
-            .select("doc_id", "text_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+            .select("doc_id", "text_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), kept.alias("kept")))
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The documents without those linked to one of a smaller key.  Documents with empty sets stay.  Of
-    repeated rows of the kept key one stays."""
+    """One document of each component: the one of the least key, of equal keys that of the least hash of key and
+    text, of repeated rows any.  Documents with empty sets stay."""
     found = similar(docs, text=text, key=key, **options)
-    drop = found.where("n_shingles > 0 and doc_id != component_id").select(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text")).distinct()
-    rest = docs.join(drop, F.col(key).eqNullSafe(F.col("_doc")) & (text_id(key, text) == F.col("_text")), "left_anti")
-    return rest
+    drop = found.where("not kept").select(F.col("text_id").alias("_drop")).distinct()
+    empty = found.where("n_shingles = 0").select(F.col("text_id").alias("_empty")).distinct()
+    named = docs.withColumn("_id", text_id(key, text))
+    rest = named.join(drop, F.col("_id") == F.col("_drop"), "left_anti").join(empty, F.col("_id") == F.col("_empty"), "left")
+    rest = rest.withColumn("_copy", F.row_number().over(Window.partitionBy("_id").orderBy("_id")))
+    return rest.where("_copy = 1 or _empty is not null").select(*[f"`{c}`" for c in docs.columns])
