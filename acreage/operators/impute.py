@@ -26,10 +26,14 @@ def missing_flags(df: DataFrame, cols: Sequence[str], suffix: str = "_missing")
     return df.withColumns({f"{c}{suffix}": F.col(c).isNull().cast("int") for c in cols})
 
 
-def primary_area(kind: str, super_area: str, plot_area: str,
-                 super_kinds=("flat", "independent builder floor"), plot_kinds=("house",)) -> Column:
-    """flats / builder floors -> super built-up area, houses -> plot area."""
-    k = F.lower(F.col(kind))
+# The property types.
+SUPER_KINDS = ("Flat", "Independent Builder Floor")
+PLOT_KINDS = ("Independent House",)
+
+
+def primary_area(kind: str, super_area: str, plot_area: str, super_kinds=SUPER_KINDS, plot_kinds=PLOT_KINDS) -> Column:
+    """flats / builder floors -> super built-up area, houses -> plot area, others null."""
+    k = F.col(kind)
     return (F.when(k.isin(list(super_kinds)), F.col(super_area))
              .when(k.isin(list(plot_kinds)), F.col(plot_area)))
 

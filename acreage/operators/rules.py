@@ -128,26 +128,32 @@ def validate(df: DataFrame, spec: Mapping[str, Column], defaults: Mapping[str, o
     none failed.  Split good / rejected with a filter on ``is_valid``."""
     d = df
     for c, v in (defaults or {}).items():
-        d = d.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
+        d = d.withColumn(c, F.coalesce(F.col(c), F.lit(v)) if c in d.columns else F.lit(v))
     failed = [F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in spec.items()]
     d = d.withColumn(reasons, F.filter(F.array(*failed), lambda x: x.isNotNull()))
     return d.withColumn("is_valid", F.size(F.col(reasons)) == 0)
 
 
-# Fixed values that must equal the reference's: request enumerations and ranges.
-REQUEST_PROPERTY_TYPES = ["flat", "house", "independent builder floor"]
-REQUEST_FURNISHING = ["unfurnished", "semifurnished", "furnished"]
+# Enumerations, ranges and defaults of a price request.
+REQUEST_PROPERTY_TYPES = ["Flat", "Independent House", "Independent Builder Floor"]
+REQUEST_FURNISHING = ["Furnished", "Semi-Furnished", "Unfurnished"]
+REQUEST_AGE = ["New Property", "Relatively New", "Moderately Old", "Old Property", "Under Construction", "Undefined"]
 REQUEST_LUXURY = ["Budget", "Semi-Luxury", "Luxury"]
+REQUEST_DEFAULTS = {"balcony": "0", "servant_room": 0, "pooja_room": 0, "facing": "east", "furnishing_type": "Unfurnished",
+                    "age_possession": "Relatively New", "luxury_category": "Budget"}
 
 
-def request_spec(property_types=REQUEST_PROPERTY_TYPES) -> dict[str, Column]:
-    """The price-request rules: area in (100, 15000], bedrooms and bathrooms in
-    1..10, servant/pooja flags 0/1, enumerated categoricals."""
+def request_spec() -> dict[str, Column]:
+    """The price-request rules: area in (100, 15000], bedrooms and bathrooms in 1..10, servant and
+    pooja flags 0/1, enumerated property type, furnishing, age and luxury tier."""
     return {
-        "property_type": enum_rule("property_type", property_types),
+        "property_type": enum_rule("property_type", REQUEST_PROPERTY_TYPES),
         "total_area_sqft": range_rule("total_area_sqft", 100, 15000, lo_open=True),
         "bedrooms": range_rule("bedrooms", 1, 10),
         "bathrooms": range_rule("bathrooms", 1, 10),
         "servant_room": enum_rule("servant_room", [0, 1]),
         "pooja_room": enum_rule("pooja_room", [0, 1]),
+        "furnishing_type": enum_rule("furnishing_type", REQUEST_FURNISHING),
+        "age_possession": enum_rule("age_possession", REQUEST_AGE),
+        "luxury_category": enum_rule("luxury_category", REQUEST_LUXURY),
     }

@@ -59,8 +59,9 @@ def config_matrix(df: DataFrame, kind: str, rooms: str, lo: int = 1, hi: int = 6
     return p.fillna(0.0, [str(v) for v in values])
 
 
+# Edges and labels of the area segments.
 AREA_EDGES = [0, 1000, 2200, 3500, float("inf")]
-AREA_LABELS = ["Small (<1000)", "Mid (1000-2200)", "Large (2200-3500)", "Luxury (3500+)"]
+AREA_LABELS = ["Small (<1000)", "Mid (1000–2200)", "Large (2200–3500)", "Luxury (3500+)"]
 
 
 def area_segments(df: DataFrame, area: str, edges: Sequence[float] = AREA_EDGES,

@@ -74,7 +74,7 @@ FROM r LEFT JOIN soc ON r.sector = soc.sector
 """)
 def request_features(spark, sf):
     L = listing_view(spark, sf)
-    req = L.select("order_key", "line_no", "sector", F.lit("flat").alias("property_type"),
+    req = L.select("order_key", "line_no", "sector", F.lit("Flat").alias("property_type"),
                    (F.col("area") * 300 + 100).alias("total_area_sqft"), (F.col("bedrooms") - 1).alias("bedrooms"),
                    F.lit(1).alias("bathrooms"), F.lit(0).alias("servant_room"), F.lit(0).alias("pooja_room"),
                    F.lit(None).cast("string").alias("balcony"), F.lit(None).cast("string").alias("facing"),
@@ -108,12 +108,12 @@ def clean_fields(spark, sf):
 
 
 @query("primary_area", ops="F2 F3 F5", sql="WITH " + L_SQL + """
-, x AS (SELECT property_type, CASE property_type WHEN 'ECONOMY' THEN 'flat' WHEN 'SMALL' THEN 'independent builder floor'
-                               WHEN 'LARGE' THEN 'house' ELSE 'other' END AS kind,
+, x AS (SELECT property_type, CASE property_type WHEN 'ECONOMY' THEN 'Flat' WHEN 'SMALL' THEN 'Independent Builder Floor'
+                               WHEN 'LARGE' THEN 'Independent House' ELSE 'other' END AS kind,
                CASE WHEN bedrooms % 2 = 0 THEN area * 100 END AS super_a, CASE WHEN bedrooms % 3 = 0 THEN area * 90 END AS built_a,
                area * 80 AS carpet_a, CASE WHEN bedrooms > 4 THEN area * 120 END AS plot_a FROM L)
-, y AS (SELECT property_type, CASE WHEN kind IN ('flat', 'independent builder floor') THEN super_a
-                                   WHEN kind = 'house' THEN plot_a END AS prim,
+, y AS (SELECT property_type, CASE WHEN kind IN ('Flat', 'Independent Builder Floor') THEN super_a
+                                   WHEN kind = 'Independent House' THEN plot_a END AS prim,
                list_sort(list_filter([super_a, built_a, carpet_a], lambda v: v IS NOT NULL)) AS a FROM x)
 , z AS (SELECT property_type, coalesce(prim, CASE WHEN len(a) = 0 THEN NULL WHEN len(a) % 2 = 1 THEN a[len(a) // 2 + 1]
                                              ELSE (a[len(a) // 2] + a[len(a) // 2 + 1]) / 2 END) AS total FROM y)
@@ -122,9 +122,9 @@ SELECT property_type, count(total) AS n, round(sum(total), 6) AS total_area FROM
 def primary_area(spark, sf):
     from acreage.operators import impute
     L = listing_view(spark, sf)
-    kind = (F.when(F.col("property_type") == "ECONOMY", "flat").when(F.col("property_type") == "SMALL",
-                                                                       "independent builder floor")
-             .when(F.col("property_type") == "LARGE", "house").otherwise("other"))
+    kind = (F.when(F.col("property_type") == "ECONOMY", "Flat").when(F.col("property_type") == "SMALL",
+                                                                       "Independent Builder Floor")
+             .when(F.col("property_type") == "LARGE", "Independent House").otherwise("other"))
     x = L.select("property_type", kind.alias("kind"),
                  F.when(F.col("bedrooms") % 2 == 0, (F.col("area") * 100).cast("string")).alias("super_a"),
                  F.when(F.col("bedrooms") % 3 == 0, F.col("area") * 90).alias("built_a"),

@@ -70,15 +70,15 @@ def rarity_score(spark, sf):
 
 
 @query("tag_union", ops="G1 H5", sql="""
-SELECT CASE o_orderstatus WHEN 'F' THEN 'flat' WHEN 'O' THEN 'house' ELSE 'independent builder floor' END
+SELECT CASE o_orderstatus WHEN 'F' THEN 'Flat' WHEN 'O' THEN 'Independent House' ELSE 'Independent Builder Floor' END
        AS property_type, count(*) AS n, round(sum(o_totalprice), 4) AS total
 FROM orders GROUP BY 1
 """)
 def tag_union(spark, sf):
     o = table(spark, sf, "orders")
-    u = features.tag_union({"flat": o.where(F.col("o_orderstatus") == "F"),
-                            "house": o.where(F.col("o_orderstatus") == "O"),
-                            "independent builder floor": o.where(~F.col("o_orderstatus").isin("F", "O"))})
+    u = features.tag_union({"Flat": o.where(F.col("o_orderstatus") == "F"),
+                            "Independent House": o.where(F.col("o_orderstatus") == "O"),
+                            "Independent Builder Floor": o.where(~F.col("o_orderstatus").isin("F", "O"))})
     return round_doubles(u.groupBy("property_type").agg(F.count(F.lit(1)).alias("n"),
                                                         F.sum("o_totalprice").alias("total")), 4)
 

@@ -87,9 +87,9 @@ def rule_report(spark, sf):
 def _requests(spark, sf):
     """Price requests derived from L by rule (types, areas, rooms, flags)."""
     L = listing_view(spark, sf)
-    ptype = (F.when(F.col("property_type").isin("ECONOMY", "SMALL"), F.lit("flat"))
-              .when(F.col("property_type").isin("LARGE", "MEDIUM"), F.lit("house"))
-              .when(F.col("property_type") == "PROMO", F.lit("independent builder floor"))
+    ptype = (F.when(F.col("property_type").isin("ECONOMY", "SMALL"), F.lit("Flat"))
+              .when(F.col("property_type").isin("LARGE", "MEDIUM"), F.lit("Independent House"))
+              .when(F.col("property_type") == "PROMO", F.lit("Independent Builder Floor"))
               .otherwise(F.lower("property_type")))
     return L.select(
         "order_key", "line_no",
@@ -98,27 +98,36 @@ def _requests(spark, sf):
         (F.col("bedrooms") + F.col("size") % 5 - 1).alias("bedrooms"),
         (F.col("size") % 12).alias("bathrooms"),
         (F.col("supp_key") % 3).cast("int").alias("servant_room"),
-        F.when(F.col("returnflag") == "R", F.lit(None).cast("int")).otherwise(F.lit(1)).alias("pooja_room"))
+        F.when(F.col("returnflag") == "R", F.lit(None).cast("int")).otherwise(F.lit(1)).alias("pooja_room"),
+        F.element_at(F.array(*map(F.lit, ["Furnished", "semifurnished", "Unfurnished"])), (F.col("part_key") % 3 + 1).cast("int")).alias("furnishing_type"),
+        F.when(F.col("size") % 4 != 0, F.element_at(F.array(*map(F.lit, ["New Property", "Old Property", "New"])), (F.col("size") % 3 + 1).cast("int"))).alias("age_possession"),
+        F.when(F.col("linestatus") == "O", F.lit("Luxury")).when(F.col("line_no") == 7, F.lit("Top")).alias("luxury_category"))
 
 
 @query("request_validation", ops="C10", sql=W + """
 , r AS (SELECT order_key, line_no,
-          CASE WHEN property_type IN ('ECONOMY', 'SMALL') THEN 'flat' WHEN property_type IN ('LARGE', 'MEDIUM') THEN 'house'
-               WHEN property_type = 'PROMO' THEN 'independent builder floor' ELSE lower(property_type) END AS property_type,
+          CASE WHEN property_type IN ('ECONOMY', 'SMALL') THEN 'Flat' WHEN property_type IN ('LARGE', 'MEDIUM') THEN 'Independent House'
+               WHEN property_type = 'PROMO' THEN 'Independent Builder Floor' ELSE lower(property_type) END AS property_type,
           area * 300 + 100 AS total_area_sqft,
           bedrooms + size % 5 - 1 AS bedrooms, size % 12 AS bathrooms, CAST(supp_key % 3 AS INTEGER) AS servant_room,
-          coalesce(CASE WHEN returnflag = 'R' THEN NULL ELSE 1 END, 0) AS pooja_room FROM L)
+          coalesce(CASE WHEN returnflag = 'R' THEN NULL ELSE 1 END, 0) AS pooja_room,
+          ['Furnished', 'semifurnished', 'Unfurnished'][part_key % 3 + 1] AS furnishing_type,
+          CASE WHEN size % 4 <> 0 THEN ['New Property', 'Old Property', 'New'][size % 3 + 1] ELSE 'Relatively New' END AS age_possession,
+          CASE WHEN linestatus = 'O' THEN 'Luxury' WHEN line_no = 7 THEN 'Top' ELSE 'Budget' END AS luxury_category FROM L)
 , v AS (SELECT order_key, line_no, concat_ws(',',
-          CASE WHEN property_type NOT IN ('flat', 'house', 'independent builder floor') THEN 'property_type' END,
+          CASE WHEN property_type NOT IN ('Flat', 'Independent House', 'Independent Builder Floor') THEN 'property_type' END,
           CASE WHEN NOT (total_area_sqft > 100 AND total_area_sqft <= 15000) THEN 'total_area_sqft' END,
           CASE WHEN NOT (bedrooms BETWEEN 1 AND 10) THEN 'bedrooms' END,
           CASE WHEN NOT (bathrooms BETWEEN 1 AND 10) THEN 'bathrooms' END,
           CASE WHEN servant_room NOT IN (0, 1) THEN 'servant_room' END,
-          CASE WHEN pooja_room NOT IN (0, 1) THEN 'pooja_room' END) AS reasons FROM r)
+          CASE WHEN pooja_room NOT IN (0, 1) THEN 'pooja_room' END,
+          CASE WHEN furnishing_type NOT IN ('Furnished', 'Semi-Furnished', 'Unfurnished') THEN 'furnishing_type' END,
+          CASE WHEN age_possession NOT IN ('New Property', 'Relatively New', 'Moderately Old', 'Old Property', 'Under Construction', 'Undefined') THEN 'age_possession' END,
+          CASE WHEN luxury_category NOT IN ('Budget', 'Semi-Luxury', 'Luxury') THEN 'luxury_category' END) AS reasons FROM r)
 SELECT order_key, line_no, reasons = '' AS is_valid, reasons FROM v
 """)
 def request_validation(spark, sf):
-    v = rules.validate(_requests(spark, sf), rules.request_spec(), defaults={"pooja_room": 0})
+    v = rules.validate(_requests(spark, sf), rules.request_spec(), defaults=rules.REQUEST_DEFAULTS)
     return v.select("order_key", "line_no", "is_valid", F.array_join("invalid_reasons", ",").alias("reasons"))
 
 

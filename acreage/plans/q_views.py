@@ -75,8 +75,8 @@ def group_box_stats(spark, sf):
 
 @query("area_segments", ops="E6", sql=W + """
 , s AS (SELECT rate, CASE WHEN area * 100 > 0 AND area * 100 <= 1000 THEN 'Small (<1000)'
-                          WHEN area * 100 > 1000 AND area * 100 <= 2200 THEN 'Mid (1000-2200)'
-                          WHEN area * 100 > 2200 AND area * 100 <= 3500 THEN 'Large (2200-3500)'
+                          WHEN area * 100 > 1000 AND area * 100 <= 2200 THEN 'Mid (1000–2200)'
+                          WHEN area * 100 > 2200 AND area * 100 <= 3500 THEN 'Large (2200–3500)'
                           WHEN area * 100 > 3500 THEN 'Luxury (3500+)' END AS area_segment FROM L)
 SELECT area_segment, count(*) AS n, round(avg(rate), 6) AS mean_rate, round(median(rate), 6) AS median_rate
 FROM s WHERE area_segment IS NOT NULL GROUP BY area_segment

@@ -70,6 +70,7 @@ def featured(df: DataFrame, sector_map: DataFrame | None = None,
     w = features.amenity_weights(d, "property_id", "features", "price_per_sqft", min_amenity_rows)
     lux = features.luxury_score(d, "property_id", "features", w)
     d = d.join(lux, "property_id", "left")
+    # fixed values: columns of the featured table, in their order
     keep = ["property_id", "property_type", "link", "society", "sector", "price_in_cr", "price_per_sqft",
             "areawithtype", "plot_area", "super_built_up_area", "built_up_area", "carpet_area", "bedrooms",
             "bathrooms", "balcony", "floornum", "study_room", "servant_room", "store_room", "pooja_room", "others",
@@ -80,6 +81,7 @@ def featured(df: DataFrame, sector_map: DataFrame | None = None,
 # ---- model listing ------------------------------------------------------------
 
 AREA_COLS = ["super_built_up_area", "built_up_area", "carpet_area", "plot_area"]
+# Columns of the model listing, in their order.
 MODEL_ORDER = ["property_type", "society", "sector", "price_in_cr", "price_per_sqft", "total_area_sqft", "bedrooms",
                "bathrooms", "balcony", "floornum_category", "study_room", "servant_room", "store_room",
                "pooja_room", "others", "facing", "furnishing_type", "age_possession_category",
@@ -121,7 +123,10 @@ def request_features(requests: DataFrame, listings: DataFrame | None = None) ->
     """C10 -> F11 -> B21/B22 over a table of price requests: validation flags,
     default society per sector (from the model listing), area per bedroom
     (area itself when bedrooms = 0), plot_area_missing = 0, age label map."""
-    d = rules.validate(requests, rules.request_spec(), defaults={"balcony": "0", "facing": "east"})
+    if "age_label" in requests.columns:
+        m = F.create_map(*[x for k, v in AGE_REQUEST_MAP.items() for x in (F.lit(k), F.lit(v))])
+        requests = requests.withColumn("age_possession", m[F.col("age_label")])
+    d = rules.validate(requests, rules.request_spec(), defaults=rules.REQUEST_DEFAULTS)
     if listings is not None:
         from acreage.operators.views import default_category
         soc = default_category(listings, "sector", "society", skip="other")
@@ -130,8 +135,4 @@ def request_features(requests: DataFrame, listings: DataFrame | None = None) ->
     d = d.withColumn("area_per_bedroom", F.when(F.col("bedrooms") > 0,
                                                 F.try_divide(F.col("total_area_sqft"), F.col("bedrooms")))
                      .otherwise(F.col("total_area_sqft")))
-    d = d.withColumn("plot_area_missing", F.lit(0))
-    if "age_label" in d.columns:
-        m = F.create_map(*[x for k, v in AGE_REQUEST_MAP.items() for x in (F.lit(k), F.lit(v))])
-        d = d.withColumn("age_possession", m[F.col("age_label")])
-    return d
+    return d.withColumn("plot_area_missing", F.lit(0))
