@@ -32,8 +32,8 @@ def test_listing_flow(spark):
     raw = _raw(spark)
     clean = stages.clean(raw)
     assert clean.where(F.col("price_parse_error")).count() == 6
-    merged = stages.merge({"flat": clean.where(F.col("property_name").contains("Flat")),
-                           "house": clean.where(~F.col("property_name").contains("Flat"))})
+    merged = stages.merge({"Flat": clean.where(F.col("property_name").contains("Flat")),
+                           "Independent House": clean.where(~F.col("property_name").contains("Flat"))})
     mapping = spark.createDataFrame([("sector 67a", "sector 67"), ("civil l", "sector 15")], "raw string, standard string")
     feat, model = stages.featured(merged, mapping, min_amenity_rows=2)
     f = feat.toPandas()
@@ -50,8 +50,8 @@ def test_listing_flow(spark):
 
 def test_request_features(spark):
     req = spark.createDataFrame(
-        [("flat", "sector 42", 100.0, 2, 2, 0, 0, "New"), ("flat", "sector 42", 100.01, 0, 2, 0, 0, "Old"),
-         ("house", "sector 99", 15000.0, 11, 2, 0, 1, "Under Construction")],
+        [("Flat", "sector 42", 100.0, 2, 2, 0, 0, "New"), ("Flat", "sector 42", 100.01, 0, 2, 0, 0, "Old"),
+         ("Independent House", "sector 99", 15000.0, 11, 2, 0, 1, "Under Construction")],
         "property_type string, sector string, total_area_sqft double, bedrooms int, bathrooms int, "
         "servant_room int, pooja_room int, age_label string").withColumn("balcony", F.lit(None).cast("string")) \
         .withColumn("facing", F.lit(None).cast("string"))
