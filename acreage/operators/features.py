@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from acreage.operators.ordered import plan_splitters, quantiles, value_counts, with_bucket
+from acreage.operators.ordered import ns_join, plan_splitters, quantiles, running_total, value_counts, with_bucket
 
 
 def tag_union(frames: dict[str, DataFrame], tag_col: str = "property_type") -> DataFrame:
@@ -37,67 +37,46 @@ def multi_hot(df: DataFrame, arr: str, out: str = "features", vocab_size: int =
     return m, m.transform(df)
 
 
-def _complement_medians(df: DataFrame, present: DataFrame, value: str, group: str,
-                        hv: DataFrame | None = None, pv: DataFrame | None = None) -> DataFrame:
-    """Median of ``value`` over the rows of ``df`` NOT in each group of
-    ``present`` (present = (group, value) rows of df), without materialising
-    the complement: complement histogram = all-rows histogram minus the
-    group's histogram.  Bucket-level cumulative counts (at most B per group,
-    arrays in-row) locate the bucket holding each target rank; only that
-    bucket's distinct values are scanned exactly."""
-    hv = value_counts(df, value) if hv is None else hv                       # (v, _w)  all rows
-    pv = value_counts(present, value, group, out="_p") if pv is None else pv   # (g, v, _p)
-    # finer buckets: each group scans only its target bucket's distinct values
-    spl = plan_splitters(hv, value, min_buckets=128)
-    hv = with_bucket(hv, value, spl)                  # (v, _w, _b)
-    pv = with_bucket(pv, value, spl)                  # (g, v, _p, _b)
-    hb = hv.groupBy("_b").agg(F.sum("_w").alias("_hb"))          # <= B rows: one bounded array
-    h_arr = hb.agg(F.array_sort(F.collect_list(F.struct("_b", "_hb"))).alias("_h"))
-    pb = (pv.groupBy(group, "_b").agg(F.sum("_p").alias("_pb"))
-            .groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_b", "_pb"))).alias("_pl")))
-    from acreage.operators.scalars import attach_row
-    g = attach_row(pb, h_arr)                         # the all-rows bucket histogram: one row of <= B entries
-    # complement count per bucket for this group: hb - pb (pb = 0 where absent)
-    comp = F.transform(F.col("_h"), lambda h: F.struct(
-        h["_b"].alias("b"),
-        (h["_hb"] - F.coalesce(F.aggregate(F.filter(F.col("_pl"), lambda p: p["_b"] == h["_b"]),
-                                           F.lit(0).cast("long"), lambda acc, p: acc + p["_pb"]), F.lit(0).cast("long"))
-         ).alias("c")))
-    g = g.withColumn("_comp", comp)
-    g = g.withColumn("_n", F.aggregate(F.col("_comp"), F.lit(0).cast("long"), lambda a, x: a + x["c"]))
-    g = g.where(F.col("_n") > 0)
-    pos = (F.col("_n") - 1) * 0.5
-    g = g.withColumn("_rlo", F.floor(pos)).withColumn("_rhi", F.ceil(pos))
-    # exclusive prefix sums over buckets -> the bucket that holds each rank
-    cums = F.transform(F.col("_comp"), lambda x, i: F.struct(
-        x["b"].alias("b"), x["c"].alias("c"),
-        F.aggregate(F.slice(F.col("_comp"), 1, i), F.lit(0).cast("long"), lambda a, y: a + y["c"]).alias("off")))
-    g = g.withColumn("_cums", cums)
-    targets = g.select(group, "_n", F.inline(F.array(
-        F.struct(F.lit("lo").alias("which"), F.col("_rlo").alias("rank")),
-        F.struct(F.lit("hi").alias("which"), F.col("_rhi").alias("rank")))), "_cums")
-    targets = targets.withColumn("_t", F.get(F.filter(F.col("_cums"), lambda x: (x["off"] <= F.col("rank")) &
-                                                      (F.col("rank") < x["off"] + x["c"])), 0))
-    targets = targets.select(group, "_n", "which", "rank", F.col("_t.b").alias("_b"), F.col("_t.off").alias("_off"))
-    # exact scan inside the target bucket: complement count per distinct value
-    tb = targets.select(group, "_b").distinct()
-    cand = (tb.join(hv, "_b")
-              .join(pv.select(group, value, "_p"), [group, value], "left")
-              .withColumn("_c", F.col("_w") - F.coalesce(F.col("_p"), F.lit(0)))
-              .where(F.col("_c") > 0))
-    run = Window.partitionBy(group, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cand = cand.withColumn("_cum", F.sum("_c").over(run))
-    hit = (cand.join(targets, [group, "_b"])
-               .where((F.col("rank") >= F.col("_off") + F.col("_cum") - F.col("_c")) &
-                      (F.col("rank") < F.col("_off") + F.col("_cum"))))
-    r = hit.groupBy(group).agg(F.max(F.when(F.col("which") == "lo", F.col(value))).alias("_xlo"),
-                               F.max(F.when(F.col("which") == "hi", F.col(value))).alias("_xhi"),
-                               F.max("_n").alias("_n"))
-    pos = (F.col("_n") - 1) * 0.5
-    lo, hi = F.floor(pos), F.ceil(pos)
-    med = F.when((hi == lo) | (F.col("_xlo") == F.col("_xhi")), F.col("_xlo")).otherwise(
-        (hi - pos) * F.col("_xlo") + (pos - lo) * F.col("_xhi"))
-    return r.select(group, med.cast("double").alias("median_absent"))
+def values_at(counts: DataFrame, value: str, cum: str, weight: str, positions: DataFrame, at: str) -> DataFrame:
+    """``positions`` plus the value at each 0-based position of the ordered multiset
+    ``counts`` (value, weight, inclusive running total).  An as-of lookup: both sides
+    are dealt into buckets of positions and read in order, so no key joins many
+    positions with many values."""
+    starts = counts.select(F.col(value).alias("_v"), (F.col(cum) - F.col(weight)).alias("_pos"))
+    spl = plan_splitters(starts, "_pos")
+    side = with_bucket(starts, "_pos", spl).withColumn("_q", F.lit(None).cast("struct<" + ",".join(
+        f"{f.name}:{f.dataType.simpleString()}" for f in positions.schema.fields) + ">"))
+    ask = with_bucket(positions.select(F.struct(*positions.columns).alias("_q"), F.col(at).cast("long").alias("_pos")), "_pos", spl)
+    ask = ask.select(F.lit(None).cast(starts.schema["_v"].dataType).alias("_v"), "_pos", "_b", "_q")
+    both = side.select("_v", F.col("_pos").cast("long").alias("_pos"), "_b", "_q").unionByName(ask)
+    # last value of each bucket, carried to later buckets: one row for each bucket
+    last = side.groupBy("_b").agg(F.max_by("_v", "_pos").alias("_last"))
+    bs = last.select("_b").unionByName(ask.select("_b").distinct()).distinct().join(last, "_b", "left")
+    carry = bs.select("_b", F.last("_last", True).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    inside = Window.partitionBy("_b").orderBy("_pos", F.col("_q").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_found", F.last("_v", True).over(inside)).where(F.col("_q").isNotNull()).join(carry, "_b", "left")
+    return found.select("_q.*", F.coalesce("_found", "_carry").alias(value))
+
+
+def _complement_medians(df: DataFrame, present: DataFrame, value: str, group: str) -> DataFrame:
+    """Median of ``value`` over the rows of ``df`` NOT in each group of ``present``
+    (present = (group, value) rows of df), without materialising the complement.
+
+    With H the running count of all rows and P that of the group's rows, the
+    complement has H(v) - P(v) rows up to a value v of the group.  For a rank r let P*
+    be the group's rows up to its last value with H - P <= r: then the complement's
+    value of rank r is the value of all rows at position r + P*.  H meets P by an
+    equality join on the value, and each group asks for two positions."""
+    hv = running_total(value_counts(df, value), value, weight="_w", out="_h", total="_all")
+    pv = running_total(value_counts(present, value, group, out="_p"), value, group, weight="_p", out="_pc", total="_in")
+    own = pv.join(hv.select(value, "_h", "_all"), value)
+    n = own.groupBy(group).agg((F.max("_all") - F.max("_in")).alias("_n")).where("_n > 0")
+    n = n.withColumn("_rlo", F.floor((F.col("_n") - 1) / 2)).withColumn("_rhi", F.ceil((F.col("_n") - 1) / 2))
+    upto = lambda r: F.coalesce(F.max(F.when(F.col("_h") - F.col("_pc") <= F.col(r), F.col("_pc"))), F.lit(0))
+    ask = ns_join(own, n, [group]).groupBy(group).agg((F.max("_rlo") + upto("_rlo")).alias("_lo"), (F.max("_rhi") + upto("_rhi")).alias("_hi"))
+    ask = ask.select(group, F.explode(F.array("_lo", "_hi")).alias("_at"))
+    found = values_at(hv, value, "_h", "_w", ask, "_at")
+    return found.groupBy(group).agg(((F.min(value) + F.max(value)) / 2).cast("double").alias("median_absent"))
 
 
 def amenity_weights(df: DataFrame, key: str, arr: str, rate: str, min_count: int = 30) -> DataFrame:

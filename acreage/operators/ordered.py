@@ -6,15 +6,15 @@ a 100 TB table that task never finishes.  Here every ordered computation is spli
 into *value buckets*:
 
 1. a mergeable quantile sketch (``percentile_approx``, bounded memory) picks
-   order-preserving bucket splitters over the values — one small driver action
-   that also tells us how many buckets the data needs;
+   order-preserving bucket splitters over the values: as many buckets as the
+   session has shuffle partitions, so the user's setting for the data also sizes
+   the buckets;
 2. per (group, bucket) totals are aggregated (at most groups x buckets rows) and
    turned into bucket offsets with a window over those few rows;
 3. the exact work (running sums, rank selection) runs in windows partitioned by
    (group, bucket), so a hot group is spread over all buckets.
 
-When the whole input has fewer than ``rows_per_bucket`` rows the plan uses one
-bucket and needs no splitters.
+The plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -26,10 +26,6 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 1024
-SKETCH_ACCURACY = 20_000
-
 
 def _keys(by) -> list[str]:
     if by is None:
@@ -50,67 +46,24 @@ def ns_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(r, cond, how).drop(*ren.values())
 
 
-_ROWS_SEEN: dict = {}
-
-
-def row_count(df: DataFrame) -> int:
-    """Count rows once per distinct plan (keyed by the plan's semantic hash
-    within this Spark application), so several ordered operators over the same
-    input share one size check."""
-    try:
-        key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
-    except Exception:  # noqa: BLE001 - plans without a semantic hash are just counted
-        return df.count()
-    if key not in _ROWS_SEEN:
-        if len(_ROWS_SEEN) > 10_000:
-            _ROWS_SEEN.clear()
-        _ROWS_SEEN[key] = df.count()
-    return _ROWS_SEEN[key]
-
+def bucket_number(df: DataFrame) -> int:
+    """Buckets of an ordered computation: the session's shuffle partitions."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-def is_small(df: DataFrame, rows_per_bucket: int | None = None) -> bool:
-    """The size check behind every fast path: one count action per plan.
-    When the whole input has at most ``rows_per_bucket`` rows, any single
-    group fits in one task, so plain windows are safe."""
-    return row_count(df) <= (rows_per_bucket or ROWS_PER_BUCKET)
 
-
-def plan_splitters(df: DataFrame, value: str, rows_per_bucket: int | None = None,
-                   max_buckets: int | None = None, checked_small: bool | None = None,
-                   min_buckets: int = 1) -> list[float]:
-    """Order-preserving bucket splitters for ``value``.
-
-    [] means one bucket (the input passed the size check).  Otherwise one more
-    action sketches the distribution with a mergeable, bounded-memory quantile
-    summary and returns sorted distinct interior splitters, enough buckets that
-    each holds about ``rows_per_bucket / 2`` rows.
-    """
-    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    max_buckets = max_buckets or MAX_BUCKETS
-    if min_buckets > 1:
-        # caller wants a finer split (e.g. per-group scans of one bucket);
-        # worth it only when the input is not tiny
-        n0 = row_count(df)
-        if n0 <= min_buckets * 1000:
-            return []
-        rows_per_bucket = min(rows_per_bucket, max(1000, n0 // min_buckets))
-        small = False
-    else:
-        small = is_small(df, rows_per_bucket) if checked_small is None else checked_small
-    if small:
-        return []
-    n = n0 if min_buckets > 1 else row_count(df)
-    want = min(max_buckets, max(2, min_buckets, math.ceil(n / rows_per_bucket)))
-    # sketch only the splitters we need; accuracy 20x the bucket count keeps
-    # bucket sizes within a few percent of each other
+def plan_splitters(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
+    """Sorted distinct interior splitters that deal the values of ``df`` into about
+    equal buckets.  One action sketches the distribution; accuracy 20x the bucket
+    count keeps bucket sizes within a few percent of each other."""
+    want = buckets or bucket_number(df)
     probs = [i / want for i in range(1, want)]
     row = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, max(1000, 20 * want)).alias("s")).first()
     return sorted({x for x in (row["s"] or []) if x is not None and not math.isnan(x)})
 
 
 def with_bucket(df: DataFrame, value: str, splitters: Sequence[float], out: str = "_b") -> DataFrame:
-    if not splitters:
-        # one bucket; a column expression (not a literal) so joins on the
+    if not splitters:      # no value, or a single one
+        # a column expression (not a literal) so joins on the
         # bucket id stay equi-joins instead of being folded into cross joins
         return df.withColumn(out, F.when(F.col(value).isNull(), F.lit(-1.0)).otherwise(F.lit(0.0)))
     tmp = "__bucket_in"
@@ -130,14 +83,6 @@ def running_total(df: DataFrame, value: str, by=None, weight: str | None = None,
         splitters = plan_splitters(df, value)
     w = F.col(weight) if weight else F.lit(1)
     wname = "__w"
-    if not splitters:
-        # Checked small: one window per group, no bucket bookkeeping.
-        part = Window.partitionBy(*keys)
-        run = part.orderBy(F.col(value), *[F.col(c) for c in tie_break]).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        return (df.withColumn(wname, w)
-                  .withColumn(out, F.sum(wname).over(run))
-                  .withColumn(total, F.sum(wname).over(part)).drop(wname))
     d = with_bucket(df.withColumn(wname, w), value, splitters)
     bt = d.groupBy(*keys, "_b").agg(F.sum(wname).alias("_bw"))
     order = Window.partitionBy(*keys).orderBy("_b")
@@ -180,12 +125,8 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by=None,
     keys = _keys(by)
     probs = list(probs)
     names = _names(probs, names)
-    small = is_small(df)
     vc = value_counts(df, value, keys, weight)
-    # checked small: one sorted window per group over its distinct values
-    # (cheaper than percentile's per-partition hash maps); else value buckets
-    spl = [] if small else plan_splitters(vc, value, checked_small=False)
-    r = running_total(vc, value, keys, weight="_w", splitters=spl)
+    r = running_total(vc, value, keys, weight="_w")
     hits = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("_tot") - 1)

@@ -103,14 +103,13 @@ def amenities(df: DataFrame, arr: str, by: str | None = None, by_value=None) ->
 def words(df: DataFrame, text: str, stop: DataFrame | Sequence[str] = ("s",),
           pattern: str = r"\p{L}+") -> DataFrame:
     """Word frequencies of the whole text column.  Words are maximal letter
-    runs, lower-cased; the stop list is removed with an anti join (a broadcast
-    of the given list, which is a parameter of fixed size)."""
-    from acreage.operators.partitioning import spread
-    toks = spread(df.select(text), text).select(
+    runs, lower-cased; the stop list is removed with an anti join (Spark broadcasts it
+    where it is measured small)."""
+    toks = df.select(
         F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), 0)).alias("word"))
     if not isinstance(stop, DataFrame):
         stop = df.sparkSession.createDataFrame([(s,) for s in stop], "word string")
-    toks = toks.join(F.broadcast(stop), "word", "left_anti")
+    toks = toks.join(stop, "word", "left_anti")
     return toks.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from acreage.functions import parse as P
-from acreage.operators.partitioning import spread
 from acreage.plans.bindings import L_SQL, listing_view, round_doubles, table
 from acreage.plans.registry import query
 
@@ -39,7 +38,7 @@ SELECT o_orderkey,
 FROM o
 """)
 def parse_price(spark, sf):
-    o = spread(table(spark, sf, "orders"), "o_orderkey").withColumn("price", _price_text())
+    o = table(spark, sf, "orders").withColumn("price", _price_text())
     o = o.withColumnsRenamed({"price": "price_text"})
     return o.select("o_orderkey", P.price_cr("price_text").alias("price_in_cr"),
                     P.is_bad_price("price_text").alias("is_bad"),
@@ -69,7 +68,7 @@ SELECT l_orderkey, l_linenumber,
 FROM x
 """)
 def parse_areas(spark, sf):
-    li = spread(table(spark, sf, "lineitem"), "l_orderkey").withColumn("areawithtype", _area_text())
+    li = table(spark, sf, "lineitem").withColumn("areawithtype", _area_text())
     return li.select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in P.areas("areawithtype").items()])
 
 
@@ -105,7 +104,7 @@ SELECT l_returnflag, count(*) AS n,
 FROM x GROUP BY l_returnflag
 """)
 def room_flags(spark, sf):
-    li = spread(table(spark, sf, "lineitem"), "l_orderkey")
+    li = table(spark, sf, "lineitem")
     txt = F.concat_ws(",", F.when(F.col("l_returnflag") == "R", F.lit("Study Room")),
                       F.when(F.col("l_linestatus") == "O", F.lit("Servant Room")),
                       F.when(F.col("l_discount") > 0.05, F.lit("Pooja Room")),

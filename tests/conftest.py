@@ -14,12 +14,3 @@ def spark():
     from acreage.session import build_session
     s = build_session(master="local[8]", shuffle_partitions=8)
     yield s
-
-
-@pytest.fixture()
-def force_buckets(monkeypatch):
-    """Force the skew-safe bucketed path on tiny inputs."""
-    from acreage.operators import ordered
-    monkeypatch.setattr(ordered, "ROWS_PER_BUCKET", 500)
-    monkeypatch.setattr(ordered, "MAX_BUCKETS", 64)
-    yield
