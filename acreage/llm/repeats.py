@@ -6,16 +6,21 @@ document or two; every byte of a repeated string is removed.
 1. Each window of ``length`` bytes has anchors: its ``gram``-byte substrings of least
    hash.  Equal windows have equal anchors at equal offsets, so repeats meet at anchors
    (one for about 185 bytes).  The context of an anchor holds every window that has it.
-2. Contexts are counted by (anchor, context).  An anchor that occurs once ends here.  A
-   context that occurs twice or more is repeated as a whole, so copies cost no more.
-3. Different contexts of one anchor go to one task, with other anchors, about ``target``
-   bytes in all.  It merges overlapping contexts (so each byte of the corpus stands there
+2. Contexts are counted by (anchor, context), first inside a text, then over the corpus.
+   An anchor that occurs once ends here.  A context that occurs twice or more is repeated
+   as a whole, so copies and periodic texts cost no more.
+3. The offsets that an anchor can have in a window are cut into intervals.  All windows of
+   an interval share the interval's core (the bytes common to them) and lie in its span
+   (the bytes of any of them).  A span that occurs twice is repeated, a core that occurs
+   once rules its interval out; only the other intervals go on.
+4. Different spans of one core go to one task, with other cores, about ``target`` bytes in
+   all.  It merges overlapping spans of a text (so each byte of the corpus stands there
    once), sorts the suffixes, keeps the run-length Burrows-Wheeler transform with the
    suffixes at run starts and ends, and streams matching statistics from them: between
    two samples the match with the neighbouring suffix shrinks by one for each byte.
    Matches of ``length`` or more are marked.
-4. Anchors of more than ``most`` different contexts would not fit one task.  Their windows
-   are counted exactly, by a 64-bit hash of offset and content, as a distributed sum.
+5. Cores of more than ``most`` different spans would not fit one task.  Their windows are
+   counted exactly, by a 64-bit hash of offset and content, as a distributed sum.
 
 Defined results: null text counts as empty; texts shorter than ``length`` keep all bytes;
 repeated rows repeat each other; a null key is kept; an empty table gives no rows; other
@@ -77,53 +82,122 @@ def text_id(key: str, text: str):
 
 
 def anchor_table(docs: DataFrame, length: int, text: str, key: str) -> DataFrame:
+    """(text_id, at, anchor, context, lo, hi, c): the different contexts of each text and how often they
+    occur in it.  Contexts that occur again in their text are repeated: these rows have no place and no
+    anchor, only the bytes lo to hi that such contexts cover."""
+
     def find(batches):
         for batch in batches:
             out, size = [], 0
             for t, i in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist()):
-                for p, h, c, lo, hi in anchors(t, length):
-                    out.append((np.full(len(p), i, dtype=np.int64), p, h.view(np.int64), c.view(np.int64), lo, hi))
-                    size += len(p)
+                found = list(anchors(t, length))
+                if not found:
+                    continue
+                p, h, c, lo, hi = (np.concatenate(x) for x in zip(*found))
+                ctx = mix(h ^ mix(c))
+                _, first, which, n = np.unique(ctx, return_index=True, return_inverse=True, return_counts=True)
+                if len(first) < len(p):
+                    again = (n[which] > 1) & (hi - lo >= length)
+                    a, b = merge_runs(lo[again], hi[again])
+                    none = np.zeros(len(a), dtype=np.int64)
+                    out.append((none + i, none - 1, none, none, a, b, none))
+                out.append((np.full(len(first), i, dtype=np.int64), p[first], h[first].view(np.int64), c[first].view(np.int64), lo[first], hi[first], n))
+                size += len(first)
                 if size > 100_000:
-                    yield _columns(out)
+                    yield _columns(out, _ANCHORS)
                     out, size = [], 0
             if out:
-                yield _columns(out)
+                yield _columns(out, _ANCHORS)
+
+    return _named(docs, text, key).mapInArrow(find, ", ".join(f"{n} bigint" for n in _ANCHORS))
+
+
+_ANCHORS = ("text_id", "at", "anchor", "context", "lo", "hi", "c")
+_INTERVALS = ("core", "span", "text_id", "at", "step", "lo", "hi")
+
 
-    return _named(docs, text, key).mapInArrow(find, "text_id bigint, at bigint, anchor bigint, context bigint, lo bigint, hi bigint")
+def _columns(parts, names) -> pa.RecordBatch:
+    cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0)] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=list(names))
 
 
-def _columns(parts) -> pa.RecordBatch:
-    cols = [np.concatenate(c) for c in zip(*parts)]
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["text_id", "at", "anchor", "context", "lo", "hi"])
+def merge_runs(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union of the ranges [lo, hi); lo ascends."""
+    if not len(lo):
+        return lo, hi
+    order = np.argsort(lo, kind="stable")
+    lo, upto = lo[order], np.maximum.accumulate(hi[order])
+    new = np.append(True, lo[1:] > upto[:-1])
+    return lo[new], upto[np.append(np.flatnonzero(new)[1:] - 1, len(lo) - 1)]
 
 
-def contexts(docs: DataFrame, places, hot, length: int, text: str, key: str) -> DataFrame:
-    """(text_id, at, anchor, hot, lo, bytes): contexts of the places in a bitmap; hot: the anchor is in the other."""
+def steps(length: int, number: int) -> list[tuple[int, int]]:
+    """Intervals (first, last) of the offsets of an anchor."""
+    edges = np.linspace(0, length - GRAM + 1, number + 1).astype(int)
+    return [(int(a), int(b) - 1) for a, b in zip(edges, edges[1:]) if b > a]
+
+
+def cut(text, p: np.ndarray, h: np.ndarray, many: np.ndarray, length: int, few: int, lots: int):
+    """Intervals of the anchors ``p`` of a text: (core hash, span hash, place, step, lo, hi, first offset).  Anchors
+    marked in ``many`` are cut into ``lots`` intervals, others into ``few``; steps of the former are numbered from 1000."""
+    if not len(p):
+        return
+    base, end = max(0, int(p.min()) - length), min(len(text), int(p.max()) + length)
+    prefix = prefix_hash(np.frombuffer(text[base:end], dtype=np.uint8))
+    for number, first, use in ((few, 0, ~many), (lots, 1000, many)):
+        at, hashes = p[use], h[use]
+        for k, (a, b) in enumerate(steps(length, number)):
+            ok = (at >= a) & (at - b + length <= len(text)) & (np.maximum(at - b, 0) + length <= np.minimum(at - a + length, len(text)))
+            q = at[ok]
+            if not len(q):
+                continue
+            core = mix(range_hash(prefix, q - a - base, q - b + length - base) + mix(hashes[ok]) + np.uint64(first + k))
+            lo, hi = np.maximum(q - b, 0), np.minimum(q - a + length, len(text))
+            span = mix(core ^ mix(range_hash(prefix, lo - base, hi - base) + mix((q - lo).astype(np.uint64) * MULT + (hi - q).astype(np.uint64))))
+            yield core, span, q, np.full(len(q), first + k), lo, hi
+
+
+def intervals(docs: DataFrame, places, hot, length: int, few: int, lots: int, wanted, large, text: str, key: str) -> DataFrame:
+    """Intervals of the places in the bitmap ``places`` (columns _INTERVALS).  With the bitmap ``wanted`` of
+    interval rows: only these, with their bytes; ``large`` (a bitmap of cores) tells which are hot."""
 
     def find(batches):
-        wanted, many = places.value, hot.value
         for batch in batches:
-            rows, size = [], 0
+            out, rows, size = [], [], 0
             for t, i in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist()):
-                for p, h, _, lo, hi in anchors(t, length):
-                    use = in_bitmap(wanted, place_hash(np.full(len(p), i, dtype=np.int64), p))
-                    for k in np.flatnonzero(use).tolist():
-                        a, b = int(lo[k]), int(hi[k])
-                        rows.append((i, int(p[k]), int(h[k].view(np.int64)), bool(in_bitmap(many, h[k:k + 1])[0]), a, bytes(t[a:b])))
-                        size += b - a
+                parts = [(p, h) for p, h, *_ in anchors(t, length)]
+                parts = [(p[u], h[u]) for p, h in parts for u in [in_bitmap(places.value, place_hash(np.full(len(p), i, dtype=np.int64), p))]]
+                for p, h in parts:
+                    for core, span, q, step, lo, hi in cut(t, p, h, in_bitmap(hot.value, h), length, few, lots):
+                        name = np.full(len(q), i, dtype=np.int64)
+                        if wanted is None:
+                            out.append((core.view(np.int64), span.view(np.int64), name, q, step, lo, hi))
+                            size += 40 * len(q)
+                            continue
+                        for k in np.flatnonzero(in_bitmap(wanted.value, row_hash(name, q, step))).tolist():
+                            a, b = int(lo[k]), int(hi[k])
+                            rows.append((int(core[k].view(np.int64)), bool(in_bitmap(large.value, core[k:k + 1])[0]), i, int(q[k]), a, bytes(t[a:b])))
+                            size += b - a
                 if size > 4 << 20:
-                    yield _contexts(rows)
-                    rows, size = [], 0
-            yield _contexts(rows)
+                    yield _columns(out, _INTERVALS) if wanted is None else _spans(rows)
+                    out, rows, size = [], [], 0
+            yield _columns(out, _INTERVALS) if wanted is None else _spans(rows)
+
+    schema = ", ".join(f"{n} bigint" for n in _INTERVALS) if wanted is None else ", ".join(f"{n} {k}" for n, k in _SPANS)
+    return _named(docs, text, key).mapInArrow(find, schema)
+
 
-    return _named(docs, text, key).mapInArrow(find, "text_id bigint, at bigint, anchor bigint, hot boolean, lo bigint, bytes binary")
+_SPANS = (("core", "bigint"), ("hot", "boolean"), ("text_id", "bigint"), ("at", "bigint"), ("lo", "bigint"), ("bytes", "binary"))
 
 
-def _contexts(rows) -> pa.RecordBatch:
-    kinds = (("text_id", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("hot", pa.bool_()), ("lo", pa.int64()), ("bytes", pa.binary()))
-    cols = list(zip(*rows)) or [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds)], names=[n for n, _ in kinds])
+def _spans(rows) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    cols = list(zip(*rows)) or [()] * len(_SPANS)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, _SPANS)], names=[n for n, _ in _SPANS])
+
+
+def row_hash(text_ids: np.ndarray, at: np.ndarray, step: np.ndarray) -> np.ndarray:
+    return mix(place_hash(text_ids, at) + step.astype(np.uint64) * MULT)
 
 
 def place_hash(text_ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -250,53 +324,66 @@ def index_spans(rows: list[tuple], length: int):
         yield names[s][0], names[s][1] + a, names[s][1] + b
 
 
-def repeated(docs: DataFrame, length: int = 400, most: int = 1000, target: int = 2 << 20, text: str = "text", key: str = "doc_id") -> DataFrame:
+def repeated(docs: DataFrame, length: int = 400, most: int = 1000, target: int = 2 << 20, few: int = 4, lots: int = 16,
+             text: str = "text", key: str = "doc_id") -> DataFrame:
     """(text_id, start, stop): strings of bytes that are repeated, in texts named by ``text_id(key, text)``;
     they overlap."""
-    spark = docs.sparkSession
+    share = docs.sparkSession.sparkContext.broadcast                 # of bitmaps, all of fixed size
     found = stored(anchor_table(docs, length, text, key), "anchors")
-    kinds = found.groupBy("anchor", "context").agg(F.count("*").alias("c"), F.min(F.struct("text_id", "at")).alias("place"))
-    kinds = stored(kinds, "kinds")
-    many = kinds.groupBy("anchor").agg(F.count("*").alias("m"), F.sum("c").alias("total")).where("total > 1").select("anchor", "m")
-    many = stored(many, "many")
-    whole = found.join(kinds.where("c > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("text_id", F.col("lo").alias("start"), F.col("hi").alias("stop"))
-    open_ = stored(kinds.join(many.where("m > 1"), "anchor").select("anchor", "m", "place.text_id", "place.at"), "open")
-
-    named = open_.select("text_id", "at").mapInArrow(_hash_places, "h bigint")
-    places = spark.sparkContext.broadcast(bitmap(named, "h", LOG2_BITS))                                   # 2^LOG2_BITS bits
-    hot = spark.sparkContext.broadcast(bitmap(open_.where(F.col("m") > most), "anchor", LOG2_BITS - 4))
-    rows = stored(contexts(docs, places, hot, length, text, key), "contexts")
+    inside = found.where("at < 0").select("text_id", F.col("lo").alias("start"), F.col("hi").alias("stop"))
+    found = found.where("at >= 0")
+    kinds = stored(found.groupBy("anchor", "context").agg(F.sum("c").alias("c"), F.min(F.struct("text_id", "at")).alias("place")), "kinds")
+    many = kinds.groupBy("anchor").agg(F.count("*").alias("m"), F.min("c").alias("least")).where("m > 1 and least = 1").select("anchor", "m")
+    whole = (found.join(kinds.where("c > 1").select("anchor", "context"), ["anchor", "context"], "left_semi")
+             .where(F.col("hi") - F.col("lo") >= length).select("text_id", F.col("lo").alias("start"), F.col("hi").alias("stop")))
+    open_ = stored(kinds.join(many, "anchor").select("anchor", "m", "c", "place.text_id", "place.at"), "open")
+    places = share(bitmap(open_.select("text_id", "at").mapInArrow(_hash_places, "h bigint"), "h", LOG2_BITS))
+    hot = share(bitmap(open_.where(F.col("m") > most), "anchor", LOG2_BITS - 4))
+
+    rows = stored(intervals(docs, places, hot, length, few, lots, None, None, text, key), "intervals")
+    spans = stored(rows.groupBy("core", "span").agg(F.count("*").alias("n"), F.min(F.struct("text_id", "at", "step")).alias("row")), "kinds")
+    twice = rows.join(spans.where("n > 1").select("core", "span"), ["core", "span"], "left_semi").select("text_id", F.col("lo").alias("start"), F.col("hi").alias("stop"))
+    cores = spans.groupBy("core").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("core", "m")
+    left = stored(spans.join(cores, "core").select("core", "m", "row.text_id", "row.at", "row.step"), "left")
+    wanted = share(bitmap(left.select("text_id", "at", "step").mapInArrow(_hash_rows, "h bigint"), "h", LOG2_BITS))
+    large = share(bitmap(left.where(F.col("m") > most), "core", LOG2_BITS - 4))
+    rest = stored(intervals(docs, places, hot, length, few, lots, wanted, large, text, key), "spans")
 
     def index(batches):
         part = [r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(3)))]
         out = list(index_spans(part, length))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["text_id", "start", "stop"])
+        yield _columns([tuple(np.array(x, dtype=np.int64) for x in zip(*out))] if out else [], ("text_id", "start", "stop"))
 
-    size = rows.where("not hot").agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
-    parts = size // target + 1
-    cold = rows.where("not hot").repartition(parts, "anchor").select("text_id", "lo", "bytes").mapInArrow(index, "text_id bigint, start bigint, stop bigint")
+    size = rest.where("not hot").agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
+    cold = (rest.where("not hot").repartition(size // target + 1, "core").select("text_id", "lo", "bytes")
+            .mapInArrow(index, "text_id bigint, start bigint, stop bigint"))
 
     def windows(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column(3)[i].as_py(), dtype=np.uint8)
-                if len(data) < length:
-                    continue
+            out = []
+            for core, doc, at, lo, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                data = np.frombuffer(data, dtype=np.uint8)
                 a = np.arange(len(data) - length + 1)
-                lo, at = batch.column(2)[i].as_py(), batch.column(1)[i].as_py()
-                h = mix(range_hash(prefix_hash(data), a, a + length) + mix((at - lo - a).astype(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(a), batch.column(0)[i].as_py(), dtype=np.int64)), pa.array(a + lo)], names=["h", "text_id", "start"])
+                h = mix(range_hash(prefix_hash(data), a, a + length) + mix((at - lo - a).astype(np.uint64)) + np.uint64(core & (2**64 - 1)))
+                out.append((h.view(np.int64), np.full(len(a), doc, dtype=np.int64), a + lo))
+            yield _columns(out, ("h", "text_id", "start"))
 
-    shown = rows.where("hot").select("text_id", "at", "lo", "bytes").mapInArrow(windows, "h bigint, text_id bigint, start bigint")
+    shown = rest.where("hot").select("core", "text_id", "at", "lo", "bytes").mapInArrow(windows, "h bigint, text_id bigint, start bigint")
     place = F.struct("text_id", "start")
-    twice = shown.groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x != y").select("h")
-    warm = shown.join(twice, "h", "left_semi").select("text_id", "start", (F.col("start") + length).alias("stop"))
-    return whole.unionByName(cold).unionByName(warm)
+    same = shown.groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x != y").select("h")
+    warm = shown.join(same, "h", "left_semi").select("text_id", "start", (F.col("start") + length).alias("stop"))
+    return inside.unionByName(whole).unionByName(twice).unionByName(cold).unionByName(warm)
 
 
 def _hash_places(batches):
     for batch in batches:
-        h = place_hash(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False))
+        h = place_hash(*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)))
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+
+def _hash_rows(batches):
+    for batch in batches:
+        h = row_hash(*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
 
@@ -324,8 +411,18 @@ def merged(spans: DataFrame) -> DataFrame:
 def remove(docs: DataFrame, length: int = 400, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The documents with the columns ``_spans`` (removed runs of bytes) and ``_kept`` (remaining bytes)."""
     spans = stored(merged(repeated(docs, length, text=text, key=key, **options)), "spans")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(spans.select(F.xxhash64("text_id").alias("h")), "h", LOG2_BITS - 4))
     named = spans.select(F.col("text_id").alias("_text"), F.col("spans").alias("_spans"))
-    rows = docs.withColumn("_id", text_id(key, text)).join(named, F.col("_id") == F.col("_text"), "left").drop("_id", "_text")
+    rows = docs.withColumn("_id", text_id(key, text)).withColumn("_hash", F.xxhash64("_id"))
+
+    def some(batches, want):
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(bits.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64)) == want))
+
+    # texts without a span need no shuffle: a fixed-size bitmap tells them (some others go with the join, and find nothing there)
+    touched = rows.mapInArrow(lambda b: some(b, True), rows.schema).join(named, F.col("_id") == F.col("_text"), "left").drop("_text")
+    clean = rows.mapInArrow(lambda b: some(b, False), rows.schema).withColumn("_spans", F.lit(None).cast(named.schema["_spans"].dataType))
+    rows = touched.unionByName(clean).drop("_id", "_hash")
     none = F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")
     rows = rows.withColumn("_spans", F.coalesce("_spans", none)).withColumn("_kept", F.col(text))
     at, kept = docs.columns.index(text), len(docs.columns) + 1
