@@ -40,50 +40,36 @@ def ordinal_apply(model, df: DataFrame, cols: Sequence[str], suffix: str = "_cod
     return out
 
 
-def onehot_scale_pipeline(num_cols: Sequence[str], cat_cols: Sequence[str], out: str = "features"):
-    """K7: StandardScaler on numerics + one-hot of categoricals with the FIRST
-    level dropped and unseen levels -> all zeros.  ``OneHotEncoder(dropLast=True)``
-    drops the extra 'keep' slot, so all k levels remain; a VectorSlicer then
-    removes level 0 (the alphabetically first)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-    stages = []
-    ohe_cols = []
-    for c in cat_cols:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__i", stringOrderType="alphabetAsc",
-                                    handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCol=f"{c}__i", outputCol=f"{c}__oh", dropLast=True, handleInvalid="keep"))
-        stages.append(_DropFirst(inputCol=f"{c}__oh", outputCol=f"{c}__ohd"))
-        ohe_cols.append(f"{c}__ohd")
+def onehot_scale_fit(train: DataFrame, num_cols: Sequence[str], cat_cols: Sequence[str], out: str = "features"):
+    """K7: z-scores of the numerics (population deviation; a constant column is only
+    centred) and one-hot of the categoricals with the alphabetically first level
+    dropped; levels unseen in ``train`` and nulls give all zeros.
+
+    Returns (fitted pipeline, names): the pipeline holds Spark's own stages only, so it
+    can be saved, and names are the plain numeric names and "<column>_<level>" in the
+    order of the vector."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer
+    stages, parts, names = [], [], []
     if num_cols:
-        stages.append(VectorAssembler(inputCols=list(num_cols), outputCol="__num", handleInvalid="keep"))
-        stages.append(StandardScaler(inputCol="__num", outputCol="__nums", withMean=True, withStd=True))
-    parts = (["__nums"] if num_cols else []) + ohe_cols
+        row = train.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(num_cols)],
+                        *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(num_cols)]).first()
+        z = [f"(CAST(`{c}` AS DOUBLE) - CAST('{row[f'm{i}']!r}' AS DOUBLE)) / CAST('{row[f's{i}'] or 1.0!r}' AS DOUBLE) AS `__z_{c}`"
+             for i, c in enumerate(num_cols)]
+        stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(z) + " FROM __THIS__"))
+        parts += [f"__z_{c}" for c in num_cols]
+        names += list(num_cols)
+    for c in cat_cols:
+        indexer = StringIndexer(inputCol=c, outputCol=f"__i_{c}", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
+        # the last slot is the one of unseen levels: dropping it leaves them all zeros
+        encoder = OneHotEncoder(inputCol=f"__i_{c}", outputCol=f"__o_{c}", dropLast=True).fit(indexer.transform(train))
+        stages += [indexer, encoder]
+        if len(indexer.labels) > 1:
+            stages.append(VectorSlicer(inputCol=f"__o_{c}", outputCol=f"__d_{c}", indices=list(range(1, len(indexer.labels)))))
+            parts.append(f"__d_{c}")
+            names += [f"{c}_{level}" for level in indexer.labels[1:]]
     stages.append(VectorAssembler(inputCols=parts, outputCol=out))
-    return Pipeline(stages=stages)
-
-
-def _DropFirst(inputCol: str, outputCol: str):
-    """A VectorSlicer that keeps indices 1.. of a one-hot vector.  The vector
-    size is only known after fitting, so the slicer is created lazily by a
-    tiny Estimator wrapper."""
-    from pyspark.ml import Estimator, Model
-    from pyspark.ml.feature import VectorSlicer
-
-    class _Model(Model):
-        def __init__(self, size):
-            super().__init__()
-            self._slicer = VectorSlicer(inputCol=inputCol, outputCol=outputCol, indices=list(range(1, size)))
-
-        def _transform(self, dataset):
-            return self._slicer.transform(dataset)
-
-    class _Est(Estimator):
-        def _fit(self, dataset):
-            size = dataset.select(inputCol).first()[0].size
-            return _Model(size)
-
-    return _Est()
+    return PipelineModel(stages=stages), names
 
 
 def target_encode_fit(train: DataFrame, cols: Sequence[str], target: str, smoothing: float = 0.0) -> dict:

@@ -6,7 +6,7 @@ column expression or a join, so a scenario table of any size is fine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,8 +55,8 @@ def group_premium(coefs: DataFrame, prefix: str, label: str = "label") -> DataFr
     base level is not in the mean (it has no coefficient)."""
     d = coefs.where(F.col("feature").startswith(prefix)).select(
         F.expr(f"substring(feature, {len(prefix) + 1})").alias(label), "coef")
-    avg = F.avg("coef").over(Window.partitionBy())   # one group of coefficients: bounded by the model size
-    d = d.withColumn("coef_vs_avg", F.col("coef") - avg)
+    d = _one_row(d, d.agg(F.avg("coef").alias("__avg")))
+    d = d.withColumn("coef_vs_avg", F.col("coef") - F.col("__avg")).drop("__avg")
     return d.withColumn("premium_pct", (F.exp("coef_vs_avg") - 1) * 100)
 
 

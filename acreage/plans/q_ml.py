@@ -9,12 +9,13 @@ the reference's values).
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from acreage.ml import encode, select, split, train
 from acreage.ml.evaluate import metrics
-from acreage.operators import impute
+from acreage.operators import impute, insight
 from acreage.plans.bindings import L_SQL, listing_view, round_doubles, table
 from acreage.plans.registry import query
 
@@ -117,9 +118,6 @@ def feature_score(spark, sf):
     from pyspark.sql import Window
     s = s.withColumn("rfe_rank", F.row_number().over(Window.orderBy(F.col("rf").desc(), "feature")).cast("int"))
     out = select.feature_score(s)
-    # summation order as in the oracle: ((rf + gb) + perm) / 3
-    out = out.withColumn("avg_importance", (F.col("rf_norm") + F.col("gb_norm") + F.col("perm_norm")) / 3)
-    out = out.withColumn("final_score", (F.col("avg_importance") + F.col("rfe_score")) / 2)
     return round_doubles(out)
 
 
@@ -175,13 +173,74 @@ def _model_frame(spark, sf):
                     F.concat_ws(":", "order_key", "line_no", "part_key", "supp_key").alias("rid"))
 
 
-@query("ridge_fit", ops="K7 K13 K24 K25")
+CATS = ["sector", "property_type"]
+
+
+def _ridge(spark, sf):
+    """Fitted interpretable model on the training part: (encoder, names, model, alpha, train, test)."""
+    from acreage.session import cut_lineage
+    d = split.kfold(split.holdout(_model_frame(spark, sf), "rid", 0.2, 42), "rid", 5, 42)
+    d = cut_lineage(d)                     # read by 35 fold fits
+    tr = d.where(~F.col("is_test"))
+    return *train.ridge_by_folds(tr, NUM, CATS)[:4], tr, d.where(F.col("is_test"))
+
+
+@query("ridge_fit", ops="K7 K13 K24")
 def ridge_fit(spark, sf):
-    d = _model_frame(spark, sf)
-    pipe = encode.onehot_scale_pipeline(NUM, ["sector", "property_type"]).fit(d)
-    x = pipe.transform(d)
-    model = train.ridge(x, 1.0, "features", "label")
-    return train.coefficients(model, x)
+    _, names, model, _, _, _ = _ridge(spark, sf)
+    return train.coefficients(model, spark, names)
+
+
+@query("ridge_normal_equations", ops="K7 K13 K25", sql="WITH " + L_SQL + """
+, n AS (SELECT unnest(['total_area_sqft', 'bedrooms', 'servant_room', 'pooja_room']) AS feature
+        UNION ALL SELECT DISTINCT 'sector_' || sector FROM L WHERE sector > (SELECT min(sector) FROM L)
+        UNION ALL SELECT DISTINCT 'property_type_' || property_type FROM L WHERE property_type > (SELECT min(property_type) FROM L))
+SELECT feature, 0.0::DOUBLE AS residual FROM n
+""")
+def ridge_normal_equations(spark, sf):
+    """X'(y - Xb - c) - alpha b per row of the training part, which is zero at the solution."""
+    pipe, names, model, alpha, tr, _ = _ridge(spark, sf)
+    dump = train.dump_features(pipe, tr)
+    rows = dump.withColumn("e", F.col("label") - F.lit(model.intercept) - F.aggregate(
+        F.zip_with("encoded", F.array(*[F.lit(float(c)) for c in model.coefficients]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x))
+    sums = rows.select("e", F.posexplode("encoded").alias("i", "x")).groupBy("i").agg(F.sum(F.col("x") * F.col("e")).alias("xe"), F.count(F.lit(1)).alias("n"))
+    coefs = spark.createDataFrame([(i, n, float(c)) for i, (n, c) in enumerate(zip(names, model.coefficients))], "i int, feature string, coef double")
+    residual = F.round((F.col("xe") - alpha * F.col("coef")) / F.col("n"), 6) + F.lit(0.0)
+    return coefs.join(sums, "i").select("feature", F.when(F.abs(residual) < 1e-6, F.lit(0.0)).otherwise(residual).alias("residual"))
+
+
+@query("ridge_impact", ops="L1 L2 L3 E26 E27 K24")
+def ridge_impact(spark, sf):
+    """What-if effects from the fitted coefficients."""
+    from acreage.plans.q_insight import SCENARIOS
+    _, names, model, _, tr, _ = _ridge(spark, sf)
+    base = insight.base_price(tr.withColumn("price_in_cr", F.expm1("label")), "price_in_cr")
+    scen = spark.createDataFrame(SCENARIOS, "scenario string, feature string, delta double")
+    return round_doubles(insight.impact(scen, train.coefficients(model, spark, names), insight.feature_stds(tr, NUM), base))
+
+
+@query("ridge_premium", ops="L4 L5 L6 K24")
+def ridge_premium(spark, sf):
+    """Premium of each sector from the fitted coefficients, largest first."""
+    _, names, model, _, _, _ = _ridge(spark, sf)
+    g = insight.per_std_effect(insight.group_premium(train.coefficients(model, spark, names), "sector_"))
+    return round_doubles(insight.extremes_resorted(g, "premium_pct", 10, largest=True, tie="label"))
+
+
+@query("model_store", ops="K21 K22")
+def model_store(spark, sf):
+    """The interpretable model, stored twice (the second time it is no better), loaded and scored."""
+    import uuid
+
+    from acreage.session import ensure_checkpoint_dir
+    pipe, _, model, _, _, te = _ridge(spark, sf)
+    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    whole = PipelineModel(stages=[*pipe.stages, model])
+    mape = float(metrics(whole.transform(te), "label", "prediction", "expm1").first()["mape"])
+    first, second = train.save_if_better(whole, mape, path), train.save_if_better(whole, mape, path)
+    loaded, known = train.load(path)
+    again = float(metrics(loaded.transform(te), "label", "prediction", "expm1").first()["mape"])
+    return spark.createDataFrame([(first, second, known == mape, abs(again - mape) < 1e-9)], "saved boolean, saved_again boolean, metric_kept boolean, same_predictions boolean")
 
 
 def _holdout_frame(spark, sf, cats=("sector", "property_type")):

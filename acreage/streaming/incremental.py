@@ -16,7 +16,6 @@ prices are predicted per request (K23).  Here:
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -35,21 +34,37 @@ def latest_per_key(stream: DataFrame, key: Sequence[str] | str, order: Sequence[
     return g.select(*keys, "__row.*")
 
 
+def versions(spark, path: str) -> list[int]:
+    """Complete versions of a table at ``path``, ascending; asks the path's own file system."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    numbers = sorted(int(n.split("=")[1]) for n in names if n.startswith("version="))
+    return [n for n in numbers if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/version={n}/_SUCCESS"))]
+
+
+def read_latest(spark, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest complete version (below ``before``), None if there is none."""
+    known = [n for n in versions(spark, path) if before is None or n < before]
+    return spark.read.parquet(f"{path}/version={known[-1]}") if known else None
+
+
 def merge_latest_into(path: str, key: Sequence[str] | str, order: Sequence[str]):
-    """foreachBatch function: upsert the micro-batch into the Parquet table at
-    ``path`` (batch rows win; within a batch the larger ``order`` wins)."""
+    """foreachBatch function: upsert the micro-batch into the table at ``path`` (batch
+    rows win; within a batch the larger ``order`` wins).  Each batch writes a version of
+    its own and leaves the others alone, so a failed or repeated batch loses nothing;
+    ``read_latest`` gives the newest complete one."""
 
     def _merge(batch: DataFrame, batch_id: int):
-        spark = batch.sparkSession
-        from acreage.session import cut_lineage
-        if os.path.exists(path) and os.listdir(path):
-            existing = spark.read.parquet(path)
-            merged = upsert_latest(existing, batch.select(*existing.columns), key, order)
-        else:
+        existing = read_latest(batch.sparkSession, path, before=batch_id)
+        if existing is None:
             merged = upsert_latest(batch.limit(0), batch, key, order)
-        # the merged frame reads ``path``: materialise it reliably before overwriting
-        merged = cut_lineage(merged)
-        merged.write.mode("overwrite").parquet(path)
+        else:
+            merged = upsert_latest(existing, batch.select(*existing.columns), key, order)
+        merged.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
     return _merge
 

@@ -59,3 +59,19 @@ def test_stage_roundtrip(spark):
     back = io.stage(df, root, "clean", partition_by=["property_type"])
     assert sorted((r["property_type"], r["v"]) for r in back.collect()) == [("flat", 1.0), ("house", 2.0)]
     assert back.where(F.col("property_type") == "flat").count() == 1
+
+
+def test_unseen_level_is_all_zeros_and_pipeline_saves(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from acreage.ml import encode
+    df = spark.createDataFrame([("a", 1.0, 5.0), ("b", 2.0, 5.0), ("c", 6.0, 5.0)], "s string, x double, k double")
+    pipe, names = encode.onehot_scale_fit(df, ["x", "k"], ["s"])
+    assert names == ["x", "k", "s_b", "s_c"]
+    pipe.write().overwrite().save(str(tmp_path / "p"))
+    new = spark.createDataFrame([("a", 3.0, 5.0), ("b", 3.0, 5.0), ("zz", 3.0, 5.0), (None, 3.0, 5.0)], "s string, x double, k double")
+    for p in (pipe, PipelineModel.load(str(tmp_path / "p"))):
+        got = [r.features.toArray().tolist() for r in p.transform(new).collect()]
+        assert got == [[0, 0, 0, 0], [0, 0, 1, 0], [0, 0, 0, 0], [0, 0, 0, 0]]
+    sd = np.array([1.0, 2.0, 6.0]).std()
+    assert abs(pipe.transform(df).first().features[0] - (1 - 3) / sd) < 1e-12

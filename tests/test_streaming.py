@@ -23,7 +23,7 @@ def test_merge_latest_matches_batch(spark):
     q = (stream.writeStream.foreachBatch(S.merge_latest_into(out, "user_id", ["ts", "event_id"]))
                .option("checkpointLocation", os.path.join(root, "ckpt")).trigger(availableNow=True).start())
     q.awaitTermination(300)
-    got = {r["user_id"]: r["event_id"] for r in spark.read.parquet(out).collect()}
+    got = {r["user_id"]: r["event_id"] for r in S.read_latest(spark, out).collect()}
     # batch answer: the latest event per user over everything
     exp = {r["user_id"]: r["event_id"] for r in
            io.upsert_latest(events.limit(0), events, "user_id", ["ts", "event_id"]).collect()}
@@ -63,3 +63,13 @@ def test_score_stream_matches_batch(spark):
     exp = {r["o_orderkey"]: (r["price"], r["high"]) for r in predict_band(model.transform(orders), 0.15).collect()}
     got = {r["o_orderkey"]: (r["price"], r["high"]) for r in spark.sql("select * from scored_orders").collect()}
     assert got == exp
+
+
+def test_merge_keeps_rows_on_a_uri_path(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    merge = S.merge_latest_into(path, "k", ["v"])
+    merge(spark.createDataFrame([(1, 1), (2, 1)], "k int, v int"), 0)
+    merge(spark.createDataFrame([(3, 1), (1, 5)], "k int, v int"), 1)
+    merge(spark.createDataFrame([(3, 1), (1, 5)], "k int, v int"), 1)      # a repeated batch
+    assert sorted(map(tuple, S.read_latest(spark, path).collect())) == [(1, 5), (2, 1), (3, 1)]
+    assert S.versions(spark, path) == [0, 1]
