@@ -14,8 +14,9 @@ class, so copies cost nothing further.
    linked members become components.
 4. The token-group matrix holds the token union of each component.  A token in the rows
    of a single component needs no further work; where a query's tokens meet the row of
-   another group, the group is opened, and the size and position bounds of the common
-   prefix tokens bound the overlap of query and member before sets are compared.
+   another group, the group is opened: each common prefix token bounds the overlap of query
+   and member by the shared tokens before it and the shorter tail after it, and pairs
+   within the bound are compared exactly.
 
 Groups are opened for all pairs of different components that share a prefix token, so no
 link between components is missed and the components are exact; pairs inside a component
@@ -106,22 +107,21 @@ def text_id(key: str, text: str):
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, text: str, key: str) -> DataFrame:
-    """(set_id, tokens) of wanted classes, from the rows named by (set_id, text_id).  A fixed-size
-    bitmap drops most other rows before their sets are made, the join drops the rest."""
+    """(set_id, tokens) of wanted classes, from the rows named by text_id.  A fixed-size bitmap drops
+    other rows before their sets are made; the few that pass it by chance meet no pair later."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("text_id").alias("h")), "h", MEMBERS_LOG2))
 
     def find(batches):
         table = bits.value
         for batch in batches:
-            use = in_bitmap(table, batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64))
+            use = in_bitmap(table, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
             found = [token_set(t, shingle) for t, u in zip(text_bytes(batch.column(0)), use) if u]
             flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in found], pa.int64()), batch.column(1).filter(pa.array(use)),
-                                              list_array(flat, [len(x) for x in found], pa.int64())], names=["set_id", "text_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in found], pa.int64()), list_array(flat, [len(x) for x in found], pa.int64())],
+                                             names=["set_id", "tokens"])
 
-    rows = docs.select(F.col(text).alias("text"), text_id(key, text).alias("text_id")).withColumn("h", F.xxhash64("text_id"))
-    return (rows.mapInArrow(find, "set_id bigint, text_id bigint, tokens array<bigint>")
-            .join(wanted, ["set_id", "text_id"], "left_semi").drop("text_id").dropDuplicates(["set_id"]))
+    rows = docs.select(F.col(text).alias("text"), F.xxhash64(text_id(key, text)).alias("h"))
+    return rows.mapInArrow(find, "set_id bigint, tokens array<bigint>")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int, num: int, den: int, text: str, key: str) -> DataFrame:
@@ -131,7 +131,7 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int,
     left, right = sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.join(left, "a").join(right, "b")
     enough = F.size(F.array_intersect("ta", "tb")) * (num + den) >= num * (F.size("ta") + F.size("tb"))
-    return stored(both.where(enough).select("a", "b"), "links")
+    return stored(both.where(enough).select("a", "b").distinct(), "links")
 
 
 def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -142,11 +142,19 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, text:
     some = every.where("set_id is not null")
     classes = stored(some.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("text_id").alias("text_id"), F.min("n").alias("n"),
                                                     F.min(F.struct("doc_id", "text_id")).alias("row")), "classes")
-    reps = some.join(classes.select("set_id", "text_id"), ["set_id", "text_id"], "left_semi").select("set_id", "n", "prefix")
+    # one row of each class (a copy that passes the bitmap by chance does no harm below)
+    chosen = docs.sparkSession.sparkContext.broadcast(bitmap(classes.select(F.xxhash64("text_id").alias("h")), "h", MEMBERS_LOG2))
+
+    def of_class(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(in_bitmap(chosen.value, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:])
+
+    reps = some.select(F.xxhash64("text_id").alias("h"), "set_id", "n", "prefix").mapInArrow(of_class, "set_id bigint, n bigint, prefix array<bigint>")
 
     # prefix tokens of more than one class
-    tokens = reps.select("set_id", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi"))
-    tokens = stored(tokens.where("lo != hi").select("token"), "tokens")
+    tokens = reps.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("m"))
+    tokens = stored(tokens.where("m > 1").select("token"), "tokens")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(tokens, "token", MEMBERS_LOG2))
 
     def postings(batches):
@@ -157,11 +165,13 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, text:
             flat = column.flatten().to_numpy(zero_copy_only=False)
             at = np.flatnonzero(in_bitmap(table, flat.view(np.uint64)))
             row = np.repeat(np.arange(len(sizes)), sizes)[at]
-            place = at - (np.cumsum(sizes) - sizes)[row]
+            begin = np.cumsum(sizes) - sizes
+            place, nth = at - begin[row], np.arange(len(at)) - np.searchsorted(at, begin)[row]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(sizes[row].astype(np.int32)),
-                                              pa.array(place.astype(np.int32)), pa.array(flat[at])], names=["set_id", "n", "size", "at", "token"])
+                                              pa.array(place.astype(np.int32)), pa.array(nth.astype(np.int32)), pa.array(flat[at])],
+                                             names=["set_id", "n", "size", "at", "nth", "token"])
 
-    posts = stored(reps.mapInArrow(postings, "set_id bigint, n bigint, size int, at int, token bigint").join(tokens, "token", "left_semi"), "postings")
+    posts = stored(reps.mapInArrow(postings, "set_id bigint, n bigint, size int, at int, nth int, token bigint").join(tokens, "token", "left_semi"), "postings")
 
     # groups and their leaders
     member = posts.groupBy("set_id", "n", "size").agg(F.count("*").alias("c"), *[F.min(F.xxhash64("token", F.lit(int(x.view(np.int64))))).alias(f"k{i}") for i, x in enumerate(SEEDS)])
@@ -169,7 +179,8 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, text:
     leaders = groups.groupBy("seed", "group").agg(F.max(F.struct("share", "set_id", "n")).alias("lead"), F.count("*").alias("members")).where("members > 1")
     fits = lambda a, b: (F.least(a, b) * den >= F.greatest(a, b) * num)
     stars = (groups.join(leaders, ["seed", "group"]).where(F.col("set_id") != F.col("lead.set_id")).where(fits(F.col("n"), F.col("lead.n")))
-             .select(F.greatest("set_id", "lead.set_id").alias("a"), F.least("set_id", "lead.set_id").alias("b")).distinct())
+             .groupBy(F.greatest("set_id", "lead.set_id").alias("a"), F.least("set_id", "lead.set_id").alias("b")).agg(F.count("*").alias("seeds"))
+             .where("seeds > 1").select("a", "b"))          # one seed alone is mostly chance; step 4 misses nothing
     links = verify(docs, stored(stars, "stars"), classes, shingle, num, den, text, key)
     roots = components(links)
 
@@ -177,12 +188,13 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, text:
     placed = posts.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     crossing = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
     placed = stored(placed.join(crossing, "token", "left_semi"), "crossing")
-    x = placed.select("token", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("root").alias("ra"))
-    y = placed.select("token", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("root").alias("rb"))
-    opened = (x.join(y, "token").where("ra < rb").where(fits(F.col("na"), F.col("nb")))
-              .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb")))
-    most = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    opened = opened.where(most * (num + den) >= num * (F.col("na") + F.col("nb"))).select("a", "b")
+    x = placed.select("token", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("nth").alias("qa"), F.col("root").alias("ra"))
+    y = placed.select("token", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("nth").alias("qb"), F.col("root").alias("rb"))
+    # only tokens of several classes can be common: of a pair's common tokens at most ``nth`` are before this one
+    # and the shorter tail from it on, so a pair within the similarity passes at each of them
+    room = F.least("qa", "qb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    opened = (x.join(y, "token").where("ra < rb").where(fits(F.col("na"), F.col("nb"))).where(room * (num + den) >= num * (F.col("na") + F.col("nb")))
+              .select("a", "b").distinct())
     more = verify(docs, stored(opened, "opened"), classes, shingle, num, den, text, key)
     if more.isEmpty():
         final = roots
