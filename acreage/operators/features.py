@@ -58,17 +58,18 @@ def values_at(counts: DataFrame, value: str, cum: str, weight: str, positions: D
     return found.select("_q.*", F.coalesce("_found", "_carry").alias(value))
 
 
-def _complement_medians(df: DataFrame, present: DataFrame, value: str, group: str) -> DataFrame:
-    """Median of ``value`` over the rows of ``df`` NOT in each group of ``present``
-    (present = (group, value) rows of df), without materialising the complement.
+def _complement_medians(all_counts: DataFrame, own_counts: DataFrame, value: str, group: str) -> DataFrame:
+    """Median of ``value`` over the rows NOT in each group, without materialising the
+    complement, from the counts of all rows (value, _w) and of the groups' rows (group,
+    value, _p).
 
     With H the running count of all rows and P that of the group's rows, the
     complement has H(v) - P(v) rows up to a value v of the group.  For a rank r let P*
     be the group's rows up to its last value with H - P <= r: then the complement's
     value of rank r is the value of all rows at position r + P*.  H meets P by an
     equality join on the value, and each group asks for two positions."""
-    hv = running_total(value_counts(df, value), value, weight="_w", out="_h", total="_all")
-    pv = running_total(value_counts(present, value, group, out="_p"), value, group, weight="_p", out="_pc", total="_in")
+    hv = running_total(all_counts, value, weight="_w", out="_h", total="_all")
+    pv = running_total(own_counts, value, group, weight="_p", out="_pc", total="_in")
     own = pv.join(hv.select(value, "_h", "_all"), value)
     n = own.groupBy(group).agg((F.max("_all") - F.max("_in")).alias("_n")).where("_n > 0")
     n = n.withColumn("_rlo", F.floor((F.col("_n") - 1) / 2)).withColumn("_rhi", F.ceil((F.col("_n") - 1) / 2))
@@ -89,8 +90,12 @@ def amenity_weights(df: DataFrame, key: str, arr: str, rate: str, min_count: int
     pres = base.select(key, "__rate", F.explode(F.array_distinct(F.col(arr))).alias("amenity")).where(
         F.col("amenity").isNotNull())
     n_pres = pres.groupBy("amenity").agg(F.count(F.lit(1)).alias("n_present"))
-    med_p = quantiles(pres, "__rate", [0.5], "amenity", names=["median_present"])
-    med_a = _complement_medians(base, pres.select("amenity", "__rate"), "__rate", "amenity")
+    # the counts of distinct rates feed several ordered steps: stored once
+    from acreage.session import cut_lineage
+    all_counts = cut_lineage(value_counts(base, "__rate"))
+    own_counts = cut_lineage(value_counts(pres, "__rate", "amenity", out="_p"))
+    med_p = quantiles(own_counts, "__rate", [0.5], "amenity", names=["median_present"], weight="_p")
+    med_a = _complement_medians(all_counts, own_counts, "__rate", "amenity")
     t = n_pres.join(med_p, "amenity", "left").join(med_a, "amenity", "left")
     prem = F.when(F.col("n_present") > min_count,
                   F.greatest(F.col("median_present") - F.col("median_absent"), F.lit(0.0))).otherwise(F.lit(0.0))
