@@ -157,14 +157,17 @@ def cut(text, p: np.ndarray, h: np.ndarray, many: np.ndarray, length: int, few:
             yield core, span, q, np.full(len(q), first + k), lo, hi
 
 
-def intervals(docs: DataFrame, places, hot, length: int, few: int, lots: int, wanted, large, text: str, key: str) -> DataFrame:
-    """Intervals of the places in the bitmap ``places`` (columns _INTERVALS).  With the bitmap ``wanted`` of
+def intervals(docs: DataFrame, texts, places, hot, length: int, few: int, lots: int, wanted, large, text: str, key: str) -> DataFrame:
+    """Intervals of the places in the bitmap ``places`` of texts in the bitmap ``texts`` (columns _INTERVALS).  With the bitmap ``wanted`` of
     interval rows: only these, with their bytes; ``large`` (a bitmap of cores) tells which are hot."""
 
     def find(batches):
         for batch in batches:
             out, rows, size = [], [], 0
-            for t, i in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist()):
+            names = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            for t, i, use in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist(), in_bitmap(texts.value, mix(names))):
+                if not use:                        # no place in this text
+                    continue
                 parts = [(p, h) for p, h, *_ in anchors(t, length)]
                 parts = [(p[u], h[u]) for p, h in parts for u in [in_bitmap(places.value, place_hash(np.full(len(p), i, dtype=np.int64), p))]]
                 for p, h in parts:
@@ -174,9 +177,9 @@ def intervals(docs: DataFrame, places, hot, length: int, few: int, lots: int, wa
                             out.append((core.view(np.int64), span.view(np.int64), name, q, step, lo, hi))
                             size += 40 * len(q)
                             continue
-                        for k in np.flatnonzero(in_bitmap(wanted.value, row_hash(name, q, step))).tolist():
-                            a, b = int(lo[k]), int(hi[k])
-                            rows.append((int(core[k].view(np.int64)), bool(in_bitmap(large.value, core[k:k + 1])[0]), i, int(q[k]), a, bytes(t[a:b])))
+                        k = np.flatnonzero(in_bitmap(wanted.value, row_hash(name, q, step)))
+                        for c, big, at, a, b in zip(core[k].view(np.int64).tolist(), in_bitmap(large.value, core[k]).tolist(), q[k].tolist(), lo[k].tolist(), hi[k].tolist()):
+                            rows.append((c, big, i, at, a, bytes(t[a:b])))
                             size += b - a
                 if size > 4 << 20:
                     yield _columns(out, _INTERVALS) if wanted is None else _spans(rows)
@@ -206,9 +209,9 @@ def place_hash(text_ids: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 # --- the run-length index ----------------------------------------------------------
 
-def suffix_order(symbols: np.ndarray, owner: np.ndarray) -> np.ndarray:
+def suffix_order(symbols: np.ndarray) -> np.ndarray:
     """Order of all suffixes.  Symbols are 1 to 256, 0 ends a segment; ends differ from each
-    other and sort by segment (``owner``).  Prefix doubling from seven symbols on."""
+    other and sort by place.  Prefix doubling from seven symbols on."""
     n, first = len(symbols), 7
     padded = np.append(symbols, np.zeros(first, dtype=np.int64))
     grams = np.zeros(n, dtype=np.int64)
@@ -217,9 +220,11 @@ def suffix_order(symbols: np.ndarray, owner: np.ndarray) -> np.ndarray:
         s = padded[i:i + n]
         grams = grams * 257 + np.where(ended, 0, s)
         ended |= s == 0
-    tie = np.where(ended, owner + 1, 0)
-    order = np.lexsort((tie, grams))
-    new = np.append(True, (grams[order][1:] != grams[order][:-1]) | (tie[order][1:] != tie[order][:-1]))
+    order = np.argsort(grams)
+    done = ended[order]                                  # equal ones stand together, in any order: sort them by place
+    closed = order[done]
+    order[done] = closed[np.lexsort((closed, grams[closed]))]
+    new = np.append(True, (grams[order][1:] != grams[order][:-1]) | done[1:])
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     step = first
@@ -230,7 +235,7 @@ def suffix_order(symbols: np.ndarray, owner: np.ndarray) -> np.ndarray:
             return order
         who = order[open_]
         after = rank[np.minimum(who + step, n - 1)]
-        by = np.argsort((rank[who] << 32) | after, kind="stable")
+        by = np.argsort((rank[who] << 32) | after)
         who = who[by]
         order[open_] = who
         pair, nxt = rank[who], rank[np.minimum(who + step, n - 1)]
@@ -244,7 +249,8 @@ class RunIndex:
     """Run-compressed Burrows-Wheeler transform of segments with the suffixes sampled at the
     starts and ends of runs, and the length of the match of each sample with its neighbour."""
 
-    def __init__(self, segments: list[bytes]) -> None:
+    def __init__(self, segments: list[bytes], least: int = 1) -> None:
+        """``least``: shorter matches count as none."""
         sizes = np.array([len(s) + 1 for s in segments])
         self.starts = np.cumsum(sizes) - sizes
         n = int(sizes.sum())
@@ -253,7 +259,7 @@ class RunIndex:
         inside = np.ones(n, dtype=bool)
         inside[self.starts + sizes - 1] = False
         symbols[inside] = np.frombuffer(b"".join(segments), dtype=np.uint8).astype(np.int64) + 1
-        order = suffix_order(symbols, owner)
+        order = suffix_order(symbols)
         before = np.where(order > 0, symbols[order - 1], 0)
         before = np.where(before == 0, -1 - owner[order], before)            # ends differ from each other
         head = np.append(True, before[1:] != before[:-1])
@@ -262,6 +268,7 @@ class RunIndex:
         self.run_at = np.flatnonzero(head)
         tail = np.append(head[1:], True)
         self.left = self.room(owner, sizes)
+        self.least = least
         ends = np.flatnonzero(tail)
         self.first, self.last = order[self.run_at], order[ends]              # samples
         prefix = prefix_hash(np.where(symbols == 0, 0, symbols))
@@ -273,13 +280,18 @@ class RunIndex:
 
     def common(self, prefix, a, b, valid) -> np.ndarray:
         """Length of the common prefix of the suffixes a and b, inside their segments."""
-        lo = np.zeros(len(a), dtype=np.int64)
-        hi = np.where(valid, np.minimum(self.left[a], self.left[b]), 0)
+        out = np.zeros(len(a), dtype=np.int64)
+        most = np.minimum(self.left[a], self.left[b])
+        use = np.flatnonzero(valid & (most >= self.least))
+        use = use[range_hash(prefix, a[use], a[use] + self.least) == range_hash(prefix, b[use], b[use] + self.least)]
+        a, b, hi = a[use], b[use], most[use]
+        lo = np.full(len(use), self.least, dtype=np.int64)
         while (lo < hi).any():
             mid = (lo + hi + 1) // 2
             same = range_hash(prefix, a, a + mid) == range_hash(prefix, b, b + mid)
             lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-        return lo
+        out[use] = lo
+        return out
 
     def matching(self) -> np.ndarray:
         """For each place of the text the longest match that starts at another place.  Streams over the
@@ -315,7 +327,7 @@ def index_spans(rows: list[tuple], length: int):
             segments.append(bytearray(data))
     if not segments:
         return
-    index = RunIndex([bytes(s) for s in segments])
+    index = RunIndex([bytes(s) for s in segments], length)
     long = index.matching() >= length
     bounds = np.append(index.starts, index.n)
     lo, hi = covered(long, length)
@@ -324,7 +336,7 @@ def index_spans(rows: list[tuple], length: int):
         yield names[s][0], names[s][1] + a, names[s][1] + b
 
 
-def repeated(docs: DataFrame, length: int = 400, most: int = 1000, target: int = 2 << 20, few: int = 4, lots: int = 16,
+def repeated(docs: DataFrame, length: int = 400, most: int = 1000, target: int = 1 << 20, few: int = 4, lots: int = 16,
              text: str = "text", key: str = "doc_id") -> DataFrame:
     """(text_id, start, stop): strings of bytes that are repeated, in texts named by ``text_id(key, text)``;
     they overlap."""
@@ -338,16 +350,18 @@ def repeated(docs: DataFrame, length: int = 400, most: int = 1000, target: int =
              .where(F.col("hi") - F.col("lo") >= length).select("text_id", F.col("lo").alias("start"), F.col("hi").alias("stop")))
     open_ = stored(kinds.join(many, "anchor").select("anchor", "m", "c", "place.text_id", "place.at"), "open")
     places = share(bitmap(open_.select("text_id", "at").mapInArrow(_hash_places, "h bigint"), "h", LOG2_BITS))
+    texts = share(bitmap(open_.select("text_id").mapInArrow(_hash_texts, "h bigint"), "h", LOG2_BITS - 2))
     hot = share(bitmap(open_.where(F.col("m") > most), "anchor", LOG2_BITS - 4))
 
-    rows = stored(intervals(docs, places, hot, length, few, lots, None, None, text, key), "intervals")
+    rows = stored(intervals(docs, texts, places, hot, length, few, lots, None, None, text, key), "intervals")
     spans = stored(rows.groupBy("core", "span").agg(F.count("*").alias("n"), F.min(F.struct("text_id", "at", "step")).alias("row")), "kinds")
     twice = rows.join(spans.where("n > 1").select("core", "span"), ["core", "span"], "left_semi").select("text_id", F.col("lo").alias("start"), F.col("hi").alias("stop"))
     cores = spans.groupBy("core").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("core", "m")
     left = stored(spans.join(cores, "core").select("core", "m", "row.text_id", "row.at", "row.step"), "left")
     wanted = share(bitmap(left.select("text_id", "at", "step").mapInArrow(_hash_rows, "h bigint"), "h", LOG2_BITS))
     large = share(bitmap(left.where(F.col("m") > most), "core", LOG2_BITS - 4))
-    rest = stored(intervals(docs, places, hot, length, few, lots, wanted, large, text, key), "spans")
+    texts = share(bitmap(left.select("text_id").mapInArrow(_hash_texts, "h bigint"), "h", LOG2_BITS - 2))
+    rest = stored(intervals(docs, texts, places, hot, length, few, lots, wanted, large, text, key), "spans")
 
     def index(batches):
         part = [r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(3)))]
@@ -375,6 +389,12 @@ def repeated(docs: DataFrame, length: int = 400, most: int = 1000, target: int =
     return inside.unionByName(whole).unionByName(twice).unionByName(cold).unionByName(warm)
 
 
+def _hash_texts(batches):
+    for batch in batches:
+        h = mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+
 def _hash_places(batches):
     for batch in batches:
         h = place_hash(*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)))
