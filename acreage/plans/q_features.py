@@ -98,4 +98,4 @@ def furnish_clusters(spark, sf):
 def cluster_diagnostics(spark, sf):
     from pyspark.ml.functions import array_to_vector
     e = table(spark, sf, "embeddings").select(array_to_vector("embedding").alias("features"))
-    return features.cluster_diagnostics(e, "features", [2, 3, 4])
+    return features.cluster_diagnostics(e, "features", list(range(1, 11)))

@@ -295,11 +295,13 @@ def permutation(spark, sf):
 @query("random_search", ops="K20 K21")
 def random_search(spark, sf):
     x, _ = _holdout_frame(spark, sf)
-    est = train.boosted(max_iter=10, max_depth=3)
-    best, cv, scores = train.random_search([], est, {"maxDepth": [2, 3, 4], "stepSize": [0.05, 0.1, 0.2]},
-                                           n_draws=4, folds=3, train=x.where(~F.col("is_test")))
+    est = train.tree()
+    space = {"maxDepth": [2, 3, 4, 5, 6, 7, 8, 10], "minInstancesPerNode": [1, 2, 5, 10, 20], "maxBins": [32, 64, 128]}
+    best, cv, scores = train.random_search([], est, space, n_draws=50, folds=5, train=x.where(~F.col("is_test")))
     test_mape = metrics(best.transform(x.where(F.col("is_test"))), "label", "prediction", "expm1").first()["mape"]
-    winner = train.pick_best({"gbt": float(test_mape)})
+    plain = train.linear().fit(x.where(~F.col("is_test")))
+    other = metrics(plain.transform(x.where(F.col("is_test"))), "label", "prediction", "expm1").first()["mape"]
+    winner = train.pick_best({"tree": float(test_mape), "linear": float(other)})
     rows = [(winner, str(sorted(p.items())), float(s)) for p, s in scores]
     return spark.createDataFrame(rows, "model string, params string, cv_mape double")
 
@@ -307,7 +309,7 @@ def random_search(spark, sf):
 @query("stacking", ops="K14")
 def stacking(spark, sf):
     x, _ = _holdout_frame(spark, sf)
-    x = split.kfold(x, "rid", 3, 42).withColumnRenamed("rid", "__rid")
+    x = split.kfold(x, "rid", 5, 42).withColumnRenamed("rid", "__rid")
     bases = {"rf": train.forest(num_trees=10, max_depth=5), "lin": train.linear()}
     _, pred = train.stack(bases, x.where(~F.col("is_test")), x.where(F.col("is_test")))
     return metrics(pred, "label", "stack_prediction", "expm1")

@@ -11,7 +11,7 @@ from acreage.plans.check import digest, duck, type_diffs
 SF = "/root/testdata/sf0.001"
 ORACLE = oracle_sql()
 ROWS_ONLY_SLOW = {"stacking", "random_search", "permutation", "forest_fit", "gbt_fit", "rfe", "fuzzy_name_clusters",
-                  "cluster_diagnostics", "furnish_clusters", "ridge_fit"}
+                  "cluster_diagnostics", "furnish_clusters", "ridge_fit", "ridge_impact", "ridge_premium", "model_store"}
 
 
 @pytest.fixture(scope="module")
@@ -32,4 +32,4 @@ def test_query_matches_oracle(spark, con, name):
 def test_rows_only_query_runs(spark, name):
     if name in ROWS_ONLY_SLOW:
         pytest.skip("model fit: exercised by the driver's rows-only run")
-    assert queries()[name](spark, SF).count() >= 0
+    assert queries()[name](spark, SF).count() > 0
