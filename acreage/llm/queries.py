@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
+from acreage.llm import oracles
 from acreage.llm.common import table
 from acreage.llm.token_path import BYTE_BPE, PIECES_32K
 
 QUERIES: dict[str, Callable] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_secret_scan": oracles.SECRETS, "op6_line_dedup": oracles.LINES, "op7_quality_rules": oracles.QUALITY,
+                          "op8_decontamination": oracles.DECONTAMINATION}
 
 
 def query(fn: Callable) -> Callable:
@@ -57,21 +59,6 @@ def op6_line_dedup(spark, sf_dir):
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-ORACLE["op6_line_dedup"] = """
-WITH lines AS (
-  SELECT doc_id, source, i, raw, trim(raw, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) AS line
-  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
-), bad AS (
-  SELECT line FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10
-), marked AS (
-  SELECT l.*, b.line IS NOT NULL AS gone FROM lines l LEFT JOIN bad b ON l.line = b.line
-)
-SELECT doc_id, count(*) FILTER (WHERE line <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
-       sha256(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
-"""
-
-
 @query
 def op8_decontamination(spark, sf_dir):
     from acreage.llm import decontaminate
