@@ -29,6 +29,8 @@ columns pass through ``remove``.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -131,30 +133,35 @@ def merge_runs(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], upto[np.append(np.flatnonzero(new)[1:] - 1, len(lo) - 1)]
 
 
-def steps(length: int, number: int) -> list[tuple[int, int]]:
+@lru_cache
+def steps(length: int, number: int) -> np.ndarray:
     """Intervals (first, last) of the offsets of an anchor."""
-    edges = np.linspace(0, length - GRAM + 1, number + 1).astype(int)
-    return [(int(a), int(b) - 1) for a, b in zip(edges, edges[1:]) if b > a]
+    edges = np.linspace(0, length - GRAM + 1, number + 1).astype(np.int64)
+    return np.array([(a, b - 1) for a, b in zip(edges, edges[1:]) if b > a])
 
 
 def cut(text, p: np.ndarray, h: np.ndarray, many: np.ndarray, length: int, few: int, lots: int):
-    """Intervals of the anchors ``p`` of a text: (core hash, span hash, place, step, lo, hi, first offset).  Anchors
+    """Intervals of the anchors ``p`` of a text: (core hash, span hash, place, step, lo, hi).  Anchors
     marked in ``many`` are cut into ``lots`` intervals, others into ``few``; steps of the former are numbered from 1000."""
     if not len(p):
         return
     base, end = max(0, int(p.min()) - length), min(len(text), int(p.max()) + length)
     prefix = prefix_hash(np.frombuffer(text[base:end], dtype=np.uint8))
     for number, first, use in ((few, 0, ~many), (lots, 1000, many)):
-        at, hashes = p[use], h[use]
-        for k, (a, b) in enumerate(steps(length, number)):
-            ok = (at >= a) & (at - b + length <= len(text)) & (np.maximum(at - b, 0) + length <= np.minimum(at - a + length, len(text)))
-            q = at[ok]
-            if not len(q):
-                continue
-            core = mix(range_hash(prefix, q - a - base, q - b + length - base) + mix(hashes[ok]) + np.uint64(first + k))
-            lo, hi = np.maximum(q - b, 0), np.minimum(q - a + length, len(text))
-            span = mix(core ^ mix(range_hash(prefix, lo - base, hi - base) + mix((q - lo).astype(np.uint64) * MULT + (hi - q).astype(np.uint64))))
-            yield core, span, q, np.full(len(q), first + k), lo, hi
+        if not use.any():
+            continue
+        grid = steps(length, number)
+        at, hashes = np.repeat(p[use], len(grid)), np.repeat(h[use], len(grid))
+        step = np.tile(np.arange(len(grid)), int(use.sum()))
+        a, b = grid[step].T
+        ok = (at >= a) & (at - b + length <= len(text)) & (np.maximum(at - b, 0) + length <= np.minimum(at - a + length, len(text)))
+        q, a, b, step = at[ok], a[ok], b[ok], step[ok]
+        if not len(q):
+            continue
+        core = mix(range_hash(prefix, q - a - base, q - b + length - base) + mix(hashes[ok]) + (step + first).astype(np.uint64))
+        lo, hi = np.maximum(q - b, 0), np.minimum(q - a + length, len(text))
+        span = mix(core ^ mix(range_hash(prefix, lo - base, hi - base) + mix((q - lo).astype(np.uint64) * MULT + (hi - q).astype(np.uint64))))
+        yield core, span, q, step + first, lo, hi
 
 
 def intervals(docs: DataFrame, texts, places, hot, length: int, few: int, lots: int, wanted, large, text: str, key: str) -> DataFrame:
