@@ -36,6 +36,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Whole texts are large rows: at most 1,000 of them in an Arrow batch of this session, which
+    bounds the memory of Python workers."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= 1000:
+        conf.set(name, "1000")
+    return df
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser: spreads the bits of 64-bit hashes."""
     h = h ^ (h >> np.uint64(30))

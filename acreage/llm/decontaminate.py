@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreage.llm.common import bitmap, in_bitmap, list_array, shingle_hashes, stored, text_bytes, word_hashes
+from acreage.llm.common import bitmap, in_bitmap, list_array, shingle_hashes, small_batches, stored, text_bytes, word_hashes
 
 WORD = np.zeros(256, dtype=bool)
 WORD[ord("0"):ord("9") + 1] = True
@@ -109,7 +109,7 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = 10, shingle: i
                  doc_text: str = "text", doc_key: str = "doc_id", item_text: str = "text", item_key: str = "item_id"):
     """(documents, matches, windows): row, doc_id, n_words of every document; row, start, n, words
     of every occurrence; item_id, words of every window."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     wins = stored(windows(items, window, shingle, item_text, item_key), "windows")
     lengths = sorted(r.k for r in wins.select(F.least("n", F.lit(shingle)).alias("k")).distinct().collect())   # 1 to shingle
     bits = spark.sparkContext.broadcast(bitmap(wins.select(F.explode("shingles").alias("s")), "s", LOG2_BITS))  # 2^LOG2_BITS bits

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from acreage.llm.common import bitmap, in_bitmap, list_array, mix, shingle_hashes, stored, text_bytes, word_hashes
+from acreage.llm.common import bitmap, in_bitmap, list_array, mix, shingle_hashes, small_batches, stored, text_bytes, word_hashes
 from acreage.llm.components import components
 
 WORD = np.ones(256, dtype=bool)
@@ -137,6 +137,7 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int,
 def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document: doc_id, text_id, n_shingles, component_id, kept (it is the component's least row, by
     doc_id, then text_id).  Similarity of at least num / den."""
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(frequency(docs, shingle, text))       # 2^SLOTS bytes
     every = stored(prefixes(docs, shared, shingle, num, den, text, key), "prefixes")
     some = every.where("set_id is not null")

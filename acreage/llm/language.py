@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from acreage.llm.common import small_batches
+
 LOG2_BUCKETS = 16
 SIZES = (2, 3, 4)
 GROUP = 1 << 19            # characters that are hashed at once
@@ -105,7 +107,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def sample(docs: DataFrame, max_rows: int, max_features: int, text: str, lang: str, key: str) -> list[tuple]:
     """(lang, buckets, counts) of the sampled labelled rows."""
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull()).select(
+    rows = small_batches(docs).where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull()).select(
         F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key), F.lit("sample")).alias("h"))
     per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}   # one row for each language
     if not per:
@@ -217,7 +219,7 @@ def logits(model: Model, texts: list[str]) -> np.ndarray:
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds the struct ``_lang`` (pred, score, rejected)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)      # 2^LOG2_BUCKETS rows of one number a language
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)      # 2^LOG2_BUCKETS rows of one number a language
     names = [f"`{c}`" for c in docs.columns]
     rows = docs.select(F.struct(*names).alias("row"), F.col(text).alias("text"))
     kind = docs.schema.simpleString()

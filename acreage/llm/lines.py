@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreage.llm.common import stored
+from acreage.llm.common import small_batches, stored
 
 BLANK_CHARS = " \t\n\u000b\f\r"
 
@@ -49,7 +49,7 @@ def boilerplate(lines: DataFrame, least_sites: int = 10, lg_k: int = 10, margin:
 def remove(docs: DataFrame, least_sites: int = 10, text: str = "text", key: str = "doc_id", site: str = "source") -> DataFrame:
     """The documents without boilerplate lines, and the struct ``_lines`` (total, removed): lines with
     a character before, and how many of them went."""
-    lines = stored(occurrences(docs, text, key, site), "lines")
+    lines = stored(occurrences(small_batches(docs), text, key, site), "lines")
     bad = stored(boilerplate(lines, least_sites), "boilerplate")
     per_doc = (lines.join(bad.withColumn("bad", F.lit(True)), "line", "left")
                .groupBy("doc", "version").agg(F.count_distinct("at").alias("total"), F.array_sort(F.collect_set(F.when(F.col("bad"), F.col("at")))).alias("gone")))

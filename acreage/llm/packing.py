@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from acreage.llm.common import stored, text_bytes
+from acreage.llm.common import small_batches, stored, text_bytes
 from acreage.llm.tokens import encoder
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
@@ -64,7 +64,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                     size = 0
             yield flush()
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES)
+    return small_batches(docs).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, ...]:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from acreage.llm.common import MULT, bitmap, in_bitmap, mix, prefix_hash, range_hash, stored, text_bytes
+from acreage.llm.common import MULT, bitmap, in_bitmap, mix, prefix_hash, range_hash, small_batches, stored, text_bytes
 
 GRAM = 32
 BLOCK = 1 << 20
@@ -347,7 +347,7 @@ def repeated(docs: DataFrame, length: int = 400, most: int = 1000, target: int =
              text: str = "text", key: str = "doc_id") -> DataFrame:
     """(text_id, start, stop): strings of bytes that are repeated, in texts named by ``text_id(key, text)``;
     they overlap."""
-    share = docs.sparkSession.sparkContext.broadcast                 # of bitmaps, all of fixed size
+    share = small_batches(docs).sparkSession.sparkContext.broadcast                 # of bitmaps, all of fixed size
     found = stored(anchor_table(docs, length, text, key), "anchors")
     inside = found.where("at < 0").select("text_id", F.col("lo").alias("start"), F.col("hi").alias("stop"))
     found = found.where("at >= 0")

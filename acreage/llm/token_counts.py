@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreage.llm.common import SEGMENT, prefix_hash, range_hash, text_bytes
+from acreage.llm.common import SEGMENT, prefix_hash, range_hash, small_batches, text_bytes
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0     # fixed value of the unigram model
@@ -174,4 +174,4 @@ def count_tokens(docs: DataFrame, model: str, text: str = "text", key: str = "do
             n = _COUNTERS[model].of_texts(text_bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(count, f"doc_id {kind}, n_tokens bigint")
+    return small_batches(docs).select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(count, f"doc_id {kind}, n_tokens bigint")

@@ -28,7 +28,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from acreage.llm.common import shared_dir, stored, text_bytes
+from acreage.llm.common import shared_dir, small_batches, stored, text_bytes
 from acreage.llm.tokens import encoder
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1   # fixed values of the zstd seekable format
@@ -137,7 +137,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, level: int = 3, fold
             yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "path": [uri], "n_docs": [len(keys)], "n_ids": [n_ids],
                                               "first_doc": [keys[0]], "last_doc": [keys[-1]]})
 
-    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text")]
     return stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(shard, MANIFEST), "manifest")
 
