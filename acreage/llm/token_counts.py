@@ -43,7 +43,7 @@ def vocabulary(model: str) -> list[tuple[str, float]]:
 class Counter:
     """Token counts of words, kept for words already seen (up to ``most_known``, then learned again)."""
 
-    def __init__(self, vocab: list[tuple[str, float]], most_known: int = 3_000_000) -> None:
+    def __init__(self, vocab: list[tuple[str, float]], most_known: int = 1_000_000) -> None:
         import ahocorasick
 
         self.pieces = ahocorasick.Automaton()

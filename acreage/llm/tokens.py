@@ -47,7 +47,7 @@ class Encoder:
     beyond ``most_known`` chunks they are forgotten and learned again, which bounds
     memory and changes no result."""
 
-    def __init__(self, path: str, most_known: int = 2_000_000) -> None:
+    def __init__(self, path: str, most_known: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
