@@ -185,10 +185,24 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, text:
     links = verify(docs, stored(stars, "stars"), classes, shingle, num, den, text, key)
     roots = components(links)
 
-    # the matrix: where tokens meet the rows of other components, these are opened
-    placed = posts.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    crossing = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
-    placed = stored(placed.join(crossing, "token", "left_semi"), "crossing")
+    def crossing(roots: DataFrame) -> DataFrame:
+        """Postings of the tokens that stand in the rows of several components of the matrix."""
+        placed = posts.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        tokens = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
+        return stored(placed.join(tokens, "token", "left_semi"), "crossing")
+
+    # one row for each posting: the class of each token with the fewest tokens of its own before it links most others
+    placed = crossing(roots)
+    heads = placed.groupBy("token").agg(F.min(F.struct((F.col("at") - F.col("nth")).alias("own"), "set_id", "n", "root")).alias("lead"))
+    near = (placed.join(heads, "token").where(F.col("root") != F.col("lead.root")).where(fits(F.col("n"), F.col("lead.n")))
+            .select(F.greatest("set_id", "lead.set_id").alias("a"), F.least("set_id", "lead.set_id").alias("b")).distinct())
+    second = verify(docs, stored(near, "near"), classes, shingle, num, den, text, key)
+    if not second.isEmpty():
+        links = stored(links.unionByName(second), "links")
+        roots = components(links)
+        placed = crossing(roots)
+
+    # the groups that tokens still connect are opened
     x = placed.select("token", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("nth").alias("qa"), F.col("root").alias("ra"))
     y = placed.select("token", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("nth").alias("qb"), F.col("root").alias("rb"))
     # only tokens of several classes can be common: of a pair's common tokens at most ``nth`` are before this one
