@@ -55,9 +55,10 @@ def sliding(values: np.ndarray, width: int, best) -> np.ndarray:
 
 
 def anchors(text, length: int):
-    """(place, anchor hash, context hash, context start, context end) of the anchors of a text."""
+    """(place, anchor hash, context hash, context start, context end) of the anchors of a text, each place once."""
     data = np.frombuffer(text, dtype=np.uint8)
     reach = length - GRAM                       # of an anchor's offset in a window
+    seen = np.zeros(0, dtype=np.int64)          # places found that later blocks look at again
     for at in range(0, max(0, len(data) - length + 1), BLOCK):
         base = max(0, at - reach)
         part = data[base:at + BLOCK + 2 * length]
@@ -68,7 +69,10 @@ def anchors(text, length: int):
         least = sliding(h, reach + 1, np.minimum)                 # of each window
         padded = np.concatenate([np.zeros(reach, dtype=np.uint64), least, np.zeros(reach, dtype=np.uint64)])
         place = np.flatnonzero(sliding(padded, reach + 1, np.maximum) == h)
+        place = place[~np.isin(g[place] + base, seen)]
         p = g[place]
+        seen = np.append(seen, p + base)
+        seen = seen[seen >= at + BLOCK]
         lo, hi = np.maximum(p - reach, 0 if base == 0 else p - reach), np.minimum(p + length, len(part))
         context = mix(range_hash(prefix, lo, hi) + mix((p - lo).astype(np.uint64) * MULT + (hi - p).astype(np.uint64)))
         yield p + base, h[place], context, lo + base, hi + base

@@ -4,6 +4,7 @@ import os
 import random
 import sys
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -159,6 +160,34 @@ def test_repeats(spark, most):
     assert got == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("block", [100, 300, 1000])
+def test_anchors_of_blocks_name_each_place_once(monkeypatch, block):
+    rng = random.Random(11)
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    for n in (63, 64, 299, 300, 700, 5000):
+        text = rng.randbytes(n)
+        grams = np.arange(max(0, n - repeats.GRAM + 1))
+        h = repeats.range_hash(repeats.prefix_hash(np.frombuffer(text, dtype=np.uint8)), grams, grams + repeats.GRAM)
+        content = {}
+        for a in range(n - 64 + 1):
+            span = range(a, a + 64 - repeats.GRAM + 1)
+            content[min(span, key=lambda p: h[p])] = True
+        found = [np.concatenate(x) for x in zip(*repeats.anchors(text, 64))] or [np.zeros(0, dtype=np.int64)] * 5
+        assert sorted(found[0].tolist()) == sorted(content)
+        assert len(np.unique(found[2])) == len(found[2])          # contexts of a text without repeats occur once
+
+
+def test_repeats_unique_text_of_several_blocks(spark):
+    rng = random.Random(12)
+    letters = bytes(rng.choices(range(97, 123), k=(7 * repeats.BLOCK) // 2)).decode()
+    twice = letters[repeats.BLOCK - 300:repeats.BLOCK + 200]       # stands over a border of blocks
+    rows = [(1, letters), (2, letters[::-1]), (3, "x" + twice + "y")]
+    table = spark.createDataFrame(rows[:2], "doc_id bigint, text string")
+    assert [(r.doc_id, r._spans, bytes(r._kept).decode()) for r in repeats.remove(table).orderBy("doc_id").collect()] == [(k, [], t) for k, t in rows[:2]]
+    got = {r.doc_id: bytes(r._kept).decode() for r in repeats.remove(spark.createDataFrame(rows, table.schema)).collect()}
+    assert got == {1: letters.replace(twice, ""), 2: letters[::-1], 3: "xy"}
+
+
 def test_repeats_small_tables(spark):
     table = spark.createDataFrame([(1, "short"), (2, None)], "doc_id bigint, text string")
     assert sorted(bytes(r._kept) for r in repeats.remove(table).collect()) == [b"", b"short"]
