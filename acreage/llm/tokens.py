@@ -4,13 +4,16 @@ The tokenizer's own pre-tokenizer never lets a match run across certain places
 (before a space or line end that follows a visible character, and between an
 ASCII letter and an ASCII character that is none).  A text is cut there, every
 different chunk is encoded once by the tokenizers library, and the ids of the
-texts are put together from the ids of their chunks.  The result is the one the
-library gives for the whole text; tests compare the two.
+texts are put together from the ids of their chunks.  The library looks for the
+tokenizer's added tokens ('<|endoftext|>') before that, and pre-tokenizes what is
+between them; so does this module: an added token is a chunk of its own.  The result
+is the one the library gives for the whole text; tests compare the two.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -45,17 +48,36 @@ def chunk_starts(data: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes texts (UTF-8 bytes).  Ids of known chunks are kept in three arrays;
     beyond ``most_known`` chunks they are forgotten and learned again, which bounds
-    memory and changes no result."""
+    memory and changes no result.  ``as_text``: added tokens are read like other text
+    (the library's ``encode_special_tokens``), not as tokens of their own."""
 
-    def __init__(self, path: str, most_known: int = 500_000) -> None:
+    def __init__(self, path: str, most_known: int = 500_000, as_text: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = as_text
+        self.added = self._added(as_text)
         self.most_known = most_known
         self._forget()
 
+    def _added(self, as_text: bool) -> re.Pattern | None:
+        """Pattern of the added tokens that the library looks for, the longest at a place."""
+        tokens = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (as_text and t.special)]
+        odd = [t.content for t in tokens if t.lstrip or t.rstrip or t.single_word or t.normalized]
+        if odd:
+            raise ValueError(f"added tokens that depend on their neighbours or on a normalizer: {odd}")
+        found = sorted((t.content.encode() for t in tokens), key=len, reverse=True)
+        return re.compile(b"|".join(re.escape(x) for x in found)) if found else None
+
+    def _split(self, text, mask: np.ndarray, at: int = 0) -> None:
+        """Cuts the text at ``at`` of ``mask`` around its added tokens, and never inside them."""
+        for m in self.added.finditer(text) if self.added else ():
+            mask[at + m.start():at + m.end()] = False
+            mask[at + m.start()] = True
+            if at + m.end() < len(mask):
+                mask[at + m.end()] = True
+
     def _forget(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)
         self.at = np.zeros(0, dtype=np.int64)
@@ -125,6 +147,8 @@ class Encoder:
             return
         mask = chunk_starts(np.frombuffer(data, dtype=np.uint8))
         begins = ends - sizes
+        for text, begin in zip(texts, begins.tolist()):
+            self._split(text, mask, begin)
         mask[begins[begins < len(data)]] = True
         starts = np.flatnonzero(mask)
         ids, counts = self._segment(data, starts)
@@ -135,7 +159,9 @@ class Encoder:
 
     def _long(self, text: bytes) -> np.ndarray:
         """A text beyond a segment, cut at places where cutting changes nothing."""
-        places = np.flatnonzero(chunk_starts(np.frombuffer(text, dtype=np.uint8)))
+        cuts = chunk_starts(np.frombuffer(text, dtype=np.uint8))
+        self._split(text, cuts)
+        places = np.flatnonzero(cuts)
         parts, at = [], 0
         while at < len(text):
             last = np.searchsorted(places, at + SEGMENT, side="right")
@@ -143,7 +169,7 @@ class Encoder:
             if len(text) - at <= SEGMENT:
                 end = len(text)
             piece = text[at:end]
-            mask = chunk_starts(np.frombuffer(piece, dtype=np.uint8))
+            mask = cuts[at:end].copy()
             mask[0] = True
             parts.append(self._segment(piece, np.flatnonzero(mask))[0])
             at = end
@@ -156,5 +182,5 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker and tokenizer file."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, as_text=False)
     return _ENCODERS[path]

@@ -8,7 +8,7 @@ import pytest
 
 from acreage.llm import packing, token_files
 from acreage.llm.token_path import BYTE_BPE
-from acreage.llm.tokens import Encoder
+from acreage.llm.tokens import Encoder, encoder
 
 SCHEMA = "doc_id bigint, text string, length string, offset int"
 ALPHABET = [" ", "  ", "\n", "\n ", "'s", "'ll", "'", "a", "Zz", "é", " ", "1", "23", "!", "--", "\t", "中文", "\r\n", "ß", "\x1c", "\x85", "<|endoftext|>", "'S", "́", "　"]
@@ -43,6 +43,34 @@ def test_encoder_long_text_and_forgetting():
     assert [x.tolist() for x in few.encode(t.encode() for t in texts)] == plain_encode(texts)
 
 
+def loaded_encode(texts):
+    """The contract's call: the tokenizer as loaded."""
+    from tokenizers import Tokenizer
+    return [x.ids for x in Tokenizer.from_file(BYTE_BPE).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_added_tokens_as_the_library_loads_them():
+    random.seed(4)
+    parts = ALPHABET + ["<|endoftext|>"] * 6 + ["<|endof", "text|>", "<|", "|>", "<"]
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>", "x<|endof", "text|>y", "<|endoftext|><|endoftext|> "]
+    texts += ["".join(random.choice(parts) for _ in range(random.randint(0, 40))) for _ in range(3000)]
+    assert loaded_encode(texts[:1]) == [[505, 220, 50256, 734]]
+    assert [x.tolist() for x in encoder(BYTE_BPE).encode(t.encode() for t in texts)] == loaded_encode(texts)
+    long = "".join(random.choice(parts) for _ in range(500_000))
+    few = Encoder(BYTE_BPE, most_known=50, as_text=False)
+    assert [x.tolist() for x in few.encode([long.encode(), b"", b"a"])] == loaded_encode([long, "", "a"])
+
+
+def test_added_tokens_in_the_operators(spark):
+    rows = [(1, "one <|endoftext|> two", "", 0), (2, "three", "", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    ids = [x + [2] for x in loaded_encode([r[1] for r in rows])]
+    files = token_files.read(token_files.write(docs, BYTE_BPE, end_id=2)).orderBy("start").collect()
+    assert [(r.start, np.frombuffer(r.ids, "<u4").tolist()) for r in files] == [(0, ids[0]), (len(ids[0]), ids[1])]
+    pieces = packing.pieces(docs, BYTE_BPE, end_id=2).orderBy("doc_id").collect()
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in pieces] == ids
+
+
 def check_packing(rows, packed, capacity, end_id):
     ids = {}
     for (doc, *_), x in zip(rows, plain_encode([r[1] or "" for r in rows])):
