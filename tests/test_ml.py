@@ -75,3 +75,50 @@ def test_unseen_level_is_all_zeros_and_pipeline_saves(spark, tmp_path):
         assert got == [[0, 0, 0, 0], [0, 0, 1, 0], [0, 0, 0, 0], [0, 0, 0, 0]]
     sd = np.array([1.0, 2.0, 6.0]).std()
     assert abs(pipe.transform(df).first().features[0] - (1 - 3) / sd) < 1e-12
+
+
+def test_fits_use_the_reference_sizes_and_training_rows(spark, monkeypatch):
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    from acreage.ml import select
+    from acreage.plans import q_ml
+    rows = [(f"r{i}", float(i % 7), float(i % 3), float(i % 5) + 1, i % 4 == 0) for i in range(80)]
+    df = spark.createDataFrame(rows, "rid string, a double, b double, label double, is_test boolean")
+    df = df.withColumn("c", F.col("a") * F.col("b")).withColumn("d", F.col("a") + F.col("b"))
+    cols = ["a", "b", "c", "d"]
+    x = VectorAssembler(inputCols=cols, outputCol="features").transform(df)
+    monkeypatch.setattr(q_ml, "_holdout_frame", lambda *_: (x, cols))
+    fits, searches = set(), []
+    for cls, size in ((RandomForestRegressor, "numTrees"), (GBTRegressor, "maxIter")):
+        def fit(self, data, params=None, size=size, real=cls.fit):
+            fits.add((size, self.getOrDefault(size), data.where("is_test").count()))
+            return real(self.copy({self.getParam(size): 2, self.maxDepth: 2}), data, params)
+        monkeypatch.setattr(cls, "fit", fit)
+    repeats, real = [], select.permutation_importance
+
+    def importance(model, data, *args, **kw):
+        repeats.append((type(model).__name__, kw["repeats"], data.where("is_test").count()))
+        return real(model, data, *args, **{**kw, "repeats": 1})
+    monkeypatch.setattr(select, "permutation_importance", importance)
+
+    def search(stages, est, space, n_draws, folds, train, **kw):
+        searches.append((type(est).__name__, n_draws, folds, train.where("is_test").count(), min(space.get("numTrees") or space["maxIter"])))
+        for name, values in space.items():
+            est.copy({est.getParam(name): values[0]})
+        return est.fit(train), None, [({}, 1.0)]
+    monkeypatch.setattr(q_ml.train, "random_search", search)
+
+    def sizes(name):
+        fits.clear()
+        repeats.clear()
+        assert getattr(q_ml, name)(spark, "").count() > 0
+        return fits, repeats
+
+    assert sizes("forest_fit") == ({("numTrees", 200, 0)}, [])
+    assert sizes("gbt_fit") == ({("maxIter", 100, 0)}, [])
+    assert sizes("rfe") == ({("numTrees", 200, 0)}, [])
+    assert sizes("permutation") == ({("numTrees", 200, 0)}, [("RandomForestRegressionModel", 10, 0)])
+    assert sizes("feature_ranking") == ({("numTrees", 200, 0), ("maxIter", 100, 0)}, [("RandomForestRegressionModel", 10, 0)])
+    assert sizes("stacking") == ({("numTrees", 617, 0), ("maxIter", 961, 0)}, [])
+    sizes("random_search")
+    assert searches == [("RandomForestRegressor", 50, 5, 0, 400), ("GBTRegressor", 50, 5, 0, 500)]
