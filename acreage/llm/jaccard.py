@@ -1,4 +1,4 @@
-"""Operator 3: exact n-gram Jaccard join with a token-group matrix.
+"""Operator 3: exact n-gram Jaccard join by prefix tokens and components.
 
 A document's set are its distinct word shingles (64-bit hashes).  Equal sets form one
 class, so copies cost nothing further.
@@ -12,13 +12,13 @@ class, so copies cost nothing further.
    shared prefix tokens, under several hash functions.  Each group's leader is the class
    with the smallest share of tokens of its own; every member is compared with it, and
    linked members become components.
-4. The token-group matrix holds the token union of each component.  A token in the rows
-   of a single component needs no further work; where a query's tokens meet the row of
-   another group, the group is opened: each common prefix token bounds the overlap of query
-   and member by the shared tokens before it and the shorter tail after it, and pairs
-   within the bound are compared exactly.
+4. A token whose postings all lie in a single component needs no further work.  The other
+   postings are joined by token: each common prefix token bounds the overlap of two classes
+   of different components by the shared tokens before it and the shorter tail after it,
+   and pairs within the bound are compared exactly.  The bound is per pair: no token union
+   of a group is stored and no overlap of a query with a group is counted.
 
-Groups are opened for all pairs of different components that share a prefix token, so no
+All pairs of classes in different components that share a prefix token are bounded, so no
 link between components is missed and the components are exact; pairs inside a component
 need no comparison.  All steps are joins and sums over tokens, groups or pairs.
 
@@ -186,7 +186,7 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, text:
     roots = components(links)
 
     def crossing(roots: DataFrame) -> DataFrame:
-        """Postings of the tokens that stand in the rows of several components of the matrix."""
+        """Postings of the tokens that stand in several components."""
         placed = posts.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
         tokens = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
         return stored(placed.join(tokens, "token", "left_semi"), "crossing")
@@ -202,7 +202,7 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, text:
         roots = components(links)
         placed = crossing(roots)
 
-    # the groups that tokens still connect are opened
+    # classes of different components that tokens still connect are bounded pair by pair
     x = placed.select("token", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("nth").alias("qa"), F.col("root").alias("ra"))
     y = placed.select("token", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("nth").alias("qb"), F.col("root").alias("rb"))
     # only tokens of several classes can be common: of a pair's common tokens at most ``nth`` are before this one
