@@ -1,6 +1,6 @@
 """Operator 1: best-fit packing of documents into fixed-length sequences.
 
-Bulk-synchronous best fit.  Pieces are range-sorted by length and get their rank
+Best fit decreasing, matched by one loop on the driver.  Pieces are range-sorted by length and get their rank
 among the pieces of equal length.  Rounds go from the longest pieces to the
 shortest: a sweep finds the tightest gaps that hold the length (its successors in
 the sorted gaps), the r-th piece takes the r-th of these gaps, the gaps shrink, and
