@@ -109,3 +109,55 @@ FROM (SELECT r.k, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_
 
 
 QUALITY = _quality()
+
+
+PERIODIC = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
+                  xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+                    lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)) AS h
+           FROM documents),
+g AS (SELECT *, CAST(len(w) AS BIGINT) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+t AS (SELECT k, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(generate_series(0, n - 1), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM p),
+f AS MATERIALIZED (SELECT k, n, i, w[i + 1] AS x, array_to_string(w[i + 1:i + 5], ' ') AS gram FROM (SELECT k, n, w, unnest(generate_series(0, n - 1)) AS i FROM t)),
+l AS (SELECT DISTINCT a.k, a.n, b.i - a.i AS q FROM f a JOIN f b ON a.k = b.k AND a.gram = b.gram AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+e AS (SELECT l.k, q, a.i, a.i - row_number() OVER (PARTITION BY l.k, q ORDER BY a.i) AS island
+      FROM l JOIN f a ON a.k = l.k JOIN f b ON b.k = l.k AND b.i = a.i + l.q AND b.x = a.x),
+s AS (SELECT k, q, min(i) AS start, count(*) + q AS length FROM e GROUP BY k, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.k = s.k AND o.q < s.q AND o.start <= s.start AND o.start + o.length >= s.start + s.length)),
+b AS (SELECT k, count(*) AS n_runs, arg_min({{'s': start, 'l': length, 'p': q}}, [-length, start, q]) AS best,
+             string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS listed FROM r GROUP BY k),
+c AS (SELECT DISTINCT k, unnest(generate_series(start + q, start + length - 1)) AS i FROM r),
+x AS (SELECT f.k, string_agg(f.x, ' ' ORDER BY f.i) AS kept FROM f LEFT JOIN c ON c.k = f.k AND c.i = f.i WHERE c.i IS NULL GROUP BY f.k)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.l AS BIGINT) AS length, CAST(best.p AS BIGINT) AS period,
+       CAST(1000 * best.l // best.p AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN b ON t.k = b.k LEFT JOIN x ON t.k = x.k
+"""
+
+WARC = """
+SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+       CASE WHEN least_id < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN least_id < page_id THEN least_id END AS refers_to
+FROM (SELECT *, CASE WHEN octet_length(encode(html)) >= 100 THEN min(page_id) OVER (PARTITION BY html) END AS least_id FROM pages)
+"""
+
+AUDIT = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+                 + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+                 + 16 * CAST(coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false) AS INT) AS mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+      FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+g AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM f a, f b, f c, f d, f e
+      WHERE len(list_distinct([a.b, b.b, c.b, d.b, e.b])) = 5),
+s AS (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step, unnest(bits) AS bit, unnest([0, bits[1], bits[1] + bits[2], bits[1] + bits[2] + bits[3], 31 - bits[5]]) AS before FROM o)
+SELECT part, filter_order, step, CAST(coalesce(sum(n) FILTER (WHERE mask & (before | bit) = 0), 0) AS BIGINT) AS kept,
+       CAST(coalesce(sum(n) FILTER (WHERE mask & (before | bit) = bit), 0) AS BIGINT) AS removed,
+       CAST(coalesce(sum(n) FILTER (WHERE mask & bit > 0 AND mask & before > 0), 0) AS BIGINT) AS redundant,
+       CAST(coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(sum(good) FILTER (WHERE mask & (before | bit) = bit), 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(sum(toxic) FILTER (WHERE mask & (before | bit) = bit), 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(n * (120 // nullif(bit_count(mask::INT), 0))) FILTER (WHERE mask & bit > 0), 0) AS BIGINT) AS shapley
+FROM g, s GROUP BY part, filter_order, step
+"""

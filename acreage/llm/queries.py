@@ -12,7 +12,8 @@ from acreage.llm.token_path import BYTE_BPE, PIECES_32K
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {"op4_secret_scan": oracles.SECRETS, "op6_line_dedup": oracles.LINES, "op7_quality_rules": oracles.QUALITY,
-                          "op8_decontamination": oracles.DECONTAMINATION}
+                          "op8_decontamination": oracles.DECONTAMINATION, "op11_periodic_runs": oracles.PERIODIC,
+                          "op12_warc": oracles.WARC, "op13_filter_audit": oracles.AUDIT}
 
 
 def query(fn: Callable) -> Callable:
@@ -95,3 +96,27 @@ def op9_repeated_strings(spark, sf_dir):
     n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     return rows.select("doc_id", n.alias("n_bytes"), (n - F.octet_length("_kept")).alias("n_removed"),
                        F.size("_spans").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    from acreage.llm import periodic
+    rows = periodic.detect(periodic.with_loop(table(spark, sf_dir, "documents")))
+    rows = rows.withColumn("best", periodic.greatest(F.col("runs")))
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                       F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                       F.sha2(periodic.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_warc(spark, sf_dir):
+    from acreage.llm import warc
+    manifest = warc.write(table(spark, sf_dir, "pages"))
+    return warc.records(manifest).select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                                         F.col("refers_to_page").cast("long").alias("refers_to"))
+
+
+@query
+def op13_filter_audit(spark, sf_dir):
+    from acreage.llm import audit
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
