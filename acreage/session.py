@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
@@ -77,3 +78,43 @@ def cut_lineage(df):
     finally:
         cached.unpersist()
     return out
+
+
+def store(df, name: str):
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back.  Cuts the lineage and survives lost
+    executors; ``discard`` deletes it when nothing reads it any more.  Returns (frame, path)."""
+    import uuid
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored table through the file system of its path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Tables:
+    """The stored tables of an iterative job: putting a new one under a name deletes the one before."""
+
+    def __init__(self, spark: SparkSession, job: str) -> None:
+        self.spark, self.job, self.paths, self.frames = spark, job, {}, {}
+
+    def put(self, **frames) -> None:
+        """Store all frames (they may read the tables of the same names), then delete those they replace."""
+        with ThreadPoolExecutor(len(frames)) as pool:          # their jobs do not depend on each other
+            new = dict(zip(frames, pool.map(lambda k: store(frames[k], f"{self.job}-{k}"), frames)))
+        old = [self.paths[k] for k in new if k in self.paths]
+        for k, (df, path) in new.items():
+            self.frames[k], self.paths[k] = df, path
+        for path in old:
+            discard(self.spark, path)
+
+    def __getitem__(self, name: str):
+        return self.frames[name]
+
+    def drop(self, *names: str) -> None:
+        for k in names or list(self.paths):
+            discard(self.spark, self.paths.pop(k))
+            del self.frames[k]
