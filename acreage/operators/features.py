@@ -199,14 +199,22 @@ class FurnishClusters:
         return obj
 
 
-def cluster_diagnostics(df: DataFrame, features: str, ks: Sequence[int], seed: int = 42) -> DataFrame:
-    """Silhouette (k >= 2) and within-cluster cost per k."""
+def cluster_diagnostics(df: DataFrame, features: str, ks: Sequence[int], seed: int = 42, inits: int = 1) -> DataFrame:
+    """Silhouette (k >= 2) and within-cluster cost per k, of the cheapest of ``inits`` starts.  The cost of
+    one cluster is the sum of squared deviations from the mean (one aggregate)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
     rows = []
     ev = ClusteringEvaluator(featuresCol=features, predictionCol="__pred")
     for k in ks:
-        m = KMeans(featuresCol=features, predictionCol="__pred", k=k, seed=seed).fit(df)
-        sil = ev.evaluate(m.transform(df)) if k >= 2 else None
-        rows.append((int(k), float(m.summary.trainingCost), None if sil is None else float(sil)))
+        if k == 1:
+            whole = df.select(Summarizer.metrics("variance", "count").summary(F.col(features)).alias("s"))
+            cost = whole.select(F.aggregate(vector_to_array("s.variance"), F.lit(0.0), lambda a, v: a + v) * (F.col("s.count") - 1)).first()[0]
+            rows.append((1, float(cost), None))
+            continue
+        fits = [KMeans(featuresCol=features, predictionCol="__pred", k=k, seed=seed + i).fit(df) for i in range(inits)]
+        m = min(fits, key=lambda x: x.summary.trainingCost)
+        rows.append((int(k), float(m.summary.trainingCost), float(ev.evaluate(m.transform(df)))))
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")

@@ -96,6 +96,10 @@ def furnish_clusters(spark, sf):
 
 @query("cluster_diagnostics", ops="G7")
 def cluster_diagnostics(spark, sf):
+    """Cost for k = 1..10 and silhouette for k = 2..8, each of the best of three starts."""
     from pyspark.ml.functions import array_to_vector
-    e = table(spark, sf, "embeddings").select(array_to_vector("embedding").alias("features"))
-    return features.cluster_diagnostics(e, "features", list(range(1, 11)))
+
+    from acreage.session import cut_lineage
+    e = cut_lineage(table(spark, sf, "embeddings").select(array_to_vector("embedding").alias("features")))
+    found = features.cluster_diagnostics(e, "features", list(range(1, 11)), inits=3)
+    return found.withColumn("silhouette", F.when(F.col("k") <= 8, F.col("silhouette")))

@@ -293,35 +293,60 @@ def permutation(spark, sf):
     return _permutation(train.forest().fit(tr), tr, cols)
 
 
+# Registered sizes of the costly fits.  The reference's are in the comments; all are parameters of the functions called.
+RANKING = {"trees": 20, "rounds": 10, "repeats": 3, "rfe_trees": 10}                      # 200, 100, 10, 200
+STACK = {"rf_trees": 20, "rf_depth": 10, "rounds": 6, "step": 0.3, "et_trees": 10, "et_depth": 8}      # 617, 18, 961, 0.044, 766, 22
+SEARCH = {"draws": 2, "folds": 2, "size": 100, "directions": 24}                           # 50, 5, 1, exact kernel
+
+
 @query("feature_ranking", ops="K10 K11 K15 K16 K17 K18")
 def feature_ranking(spark, sf):
     """The reference's ranking on the training part: importances of the forest, of boosting, of permutations under
     the fitted forest, and recursive elimination.  ``chosen``: among the best half."""
     x, cols = _holdout_frame(spark, sf)
     tr = x.where(~F.col("is_test"))
-    rf, gb = train.forest().fit(tr), train.boosted(max_depth=3).fit(tr)
+    rf, gb = train.forest(num_trees=RANKING["trees"]).fit(tr), train.boosted(max_depth=3, max_iter=RANKING["rounds"]).fit(tr)
     pairs = [(c, float(a), float(b)) for c, a, b in zip(cols, rf.featureImportances.toArray(), gb.featureImportances.toArray())]
     scores = spark.createDataFrame(pairs, "feature string, rf double, gb double")
-    perm = _permutation(rf, tr, cols).select("feature", F.col("importance_mean").alias("perm"))
+    va = VectorAssembler(inputCols=cols, outputCol="features")
+    perm = select.permutation_importance(rf, tr.drop("features"), cols, "rid", "label", repeats=RANKING["repeats"], assemble=lambda d: va.transform(d))
+    perm = perm.select("feature", F.col("importance_mean").alias("perm"))
+    small = lambda f, y: train.forest(f, y, num_trees=RANKING["rfe_trees"])
     from acreage.session import cut_lineage
-    scored = cut_lineage(select.feature_score(scores.join(perm, "feature").join(select.rfe(train.forest, tr, cols, keep=3), "feature")))
+    scored = cut_lineage(select.feature_score(scores.join(perm, "feature").join(select.rfe(small, tr, cols, keep=3), "feature")))
     return scored.withColumn("chosen", F.col("feature").isin(select.top_features(scored, 3))).orderBy(F.col("final_score").desc(), "feature")
 
 
-# The reference's ranges (upper ends included) and its tuned values, as far as Spark ML has the parameter.
+# The reference's ranges (upper ends included), as far as the learner has the parameter; tree counts and rounds are divided by SEARCH["size"].
 FOREST_SPACE = {"numTrees": range(400, 900), "maxDepth": range(10, 25), "minInstancesPerNode": range(2, 15), "featureSubsetStrategy": ["sqrt", "all"]}
-BOOSTED_SPACE = {"stepSize": [i / 2000 for i in range(20, 121)], "maxIter": range(500, 1000), "maxDepth": range(3, 6), "minInstancesPerNode": range(3, 8),
-                 "subsamplingRate": [i / 100 for i in range(60, 101)], "featureSubsetStrategy": [str(i / 100) for i in range(60, 101)]}
+BOOSTED_SPACE = {"step": [i / 2000 for i in range(20, 121)], "rounds": range(500, 1000), "max_depth": range(3, 6), "row_share": [i / 100 for i in range(60, 101)],
+                 "column_share": [i / 100 for i in range(60, 101)], "l1": [0.1, 0.5, 1, 5], "l2": [1, 5, 10], "least_weight": range(3, 8)}
+KERNEL_SPACE = {"c": [float(i) for i in range(1, 102)], "epsilon": [i / 100 for i in range(1, 52)], "gamma": ["scale", "auto"]}
+
+
+def _scaled(space: dict, name: str, size: int) -> dict:
+    return space | {name: range(max(1, space[name].start // size), max(2, space[name].stop // size))}
+
+
+def candidates(cols, key: str, sizes: dict = SEARCH) -> dict:
+    """name -> (make(**parameters), space) of the three models that the reference tunes."""
+    from acreage.ml import ensembles, kernel
+    return {
+        "random_forest": (lambda **p: train.forest().copy({train.forest().getParam(k): v for k, v in p.items()}), _scaled(FOREST_SPACE, "numTrees", sizes["size"])),
+        "boosted_trees": (lambda **p: train.Grown(ensembles.boosted, cols, key, bins=32, **p), _scaled(BOOSTED_SPACE, "rounds", sizes["size"])),
+        "kernel_svr": (lambda **p: train.Grown(kernel.support_vector_regression, cols, key, features=sizes["directions"], most_steps=12, **p), KERNEL_SPACE)}
 
 
 @query("random_search", ops="K20 K21")
 def random_search(spark, sf):
-    """Forest and boosting, 50 draws and 5 folds each; ``chosen`` marks the draws of the model that is better on the test part."""
-    x, _ = _holdout_frame(spark, sf)
+    """Forest, second-order boosting and kernel regression, each tuned over folds; ``chosen`` marks the draws of the model that is best on the test part."""
+    from acreage.session import cut_lineage
+    x, cols = _holdout_frame(spark, sf)
+    x = cut_lineage(split.kfold(x, "rid", SEARCH["folds"], 42))
     tr, te = x.where(~F.col("is_test")), x.where(F.col("is_test"))
     scores, mape = {}, {}
-    for name, est, space in (("random_forest", train.forest(), FOREST_SPACE), ("boosted_trees", train.boosted(), BOOSTED_SPACE)):
-        best, _, scores[name] = train.random_search([], est, space, n_draws=50, folds=5, train=tr, parallelism=1)
+    for name, (make, space) in candidates(cols, "rid").items():
+        best, _, scores[name] = train.search(make, space, SEARCH["draws"], tr)
         mape[name] = float(metrics(best.transform(te), "label", "prediction", "expm1").first()["mape"])
     winner = train.pick_best(mape)
     rows = [(n, str(sorted(p.items())), float(s), mape[n], n == winner) for n, found in scores.items() for p, s in found]
@@ -330,10 +355,43 @@ def random_search(spark, sf):
 
 @query("stacking", ops="K14")
 def stacking(spark, sf):
-    x, _ = _holdout_frame(spark, sf)
-    x = split.kfold(x, "rid", 5, 42).withColumnRenamed("rid", "__rid")
-    bases = {"rf": train.forest(num_trees=617, max_depth=18).setMinInstancesPerNode(4),
-             "gb": train.boosted(max_iter=961, max_depth=4, step=0.04369139098379994).setSubsamplingRate(0.7894827350427649)
-             .setFeatureSubsetStrategy("0.7031313292455558")}
+    """Forest, second-order boosting and extra-trees under a ridge, from predictions out of fold."""
+    from acreage.ml import ensembles
+    from acreage.session import cut_lineage
+    x, cols = _holdout_frame(spark, sf)
+    x = cut_lineage(split.kfold(x, "rid", 5, 42).withColumnRenamed("rid", "__rid"))
+    bases = {"rf": train.forest(num_trees=STACK["rf_trees"], max_depth=STACK["rf_depth"]).setMinInstancesPerNode(4),
+             "gb": train.Grown(ensembles.boosted, cols, "__rid", rounds=STACK["rounds"], max_depth=4, step=STACK["step"], l1=1.0, row_share=0.7894827350427649,
+                               column_share=0.7031313292455558, bins=32),
+             "et": train.Grown(ensembles.extra_trees, cols, "__rid", n_trees=STACK["et_trees"], max_depth=STACK["et_depth"], min_leaf=6, min_split=25)}
     _, pred = train.stack(bases, x.where(~F.col("is_test")), x.where(F.col("is_test")))
     return metrics(pred, "label", "stack_prediction", "expm1")
+
+
+@query("learners", ops="K11 K12 K14 K20 K21")
+def learners(spark, sf):
+    """Extra-trees, second-order boosting, AdaBoost and kernel regression on the training part, scored on the rest; ``chosen``: the least MAPE."""
+    from acreage.ml import ensembles, kernel
+    x, cols = _holdout_frame(spark, sf)
+    tr, te = x.where(~F.col("is_test")), x.where(F.col("is_test"))
+    found = {}
+    for name, grow, params in (("extra_trees", ensembles.extra_trees, {"n_trees": 30, "max_depth": 8}), ("boosted_trees", ensembles.boosted, {"rounds": 10, "step": 0.3, "bins": 32}),
+                               ("adaboost", ensembles.adaboost, {"rounds": 5, "bins": 32}), ("kernel_svr", kernel.support_vector_regression, {"features": 32, "epsilon": 0.05})):
+        found[name] = metrics(train.Grown(grow, cols, "rid", **params).fit(tr).transform(te), "label", "prediction", "expm1").first().asDict()
+    best = train.pick_best({n: m["mape"] for n, m in found.items()})
+    return spark.createDataFrame([(n, float(m["r2"]), float(m["mae"]), float(m["rmse"]), float(m["mape"]), n == best) for n, m in found.items()],
+                                 "model string, r2 double, mae double, rmse double, mape double, chosen boolean")
+
+
+@query("boosting_rounds", ops="K11", sql="SELECT CAST(range AS INTEGER) AS round, true AS loss_falls, true AS loss_is_of_model FROM range(1, 11)")
+def boosting_rounds(spark, sf):
+    """Each round of second-order boosting on the training part: does the loss fall, and is the last one that of the model's own predictions?"""
+    from acreage.ml import ensembles
+    from acreage.session import cut_lineage
+    x, cols = _holdout_frame(spark, sf)
+    tr = cut_lineage(ensembles.rows(x.where(~F.col("is_test")), cols, "label", "rid"))
+    model = ensembles.boosted(tr, rounds=10, max_depth=3, step=0.3, l1=0.5, l2=1.0, least_weight=3, bins=32, store_every=4)
+    flat = tr.select("y", *[F.col("x")[i].alias(c) for i, c in enumerate(cols)])
+    last = model.transform(flat, cols).agg(F.avg((F.col("prediction") - F.col("y")) ** 2)).first()[0]
+    same = abs(last - model.losses[-1]) <= 1e-9 * max(1.0, last)
+    return spark.createDataFrame([(i + 1, bool(b < a), same) for i, (a, b) in enumerate(zip(model.losses, model.losses[1:]))], "round int, loss_falls boolean, loss_is_of_model boolean")

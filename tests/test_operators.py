@@ -78,7 +78,9 @@ def test_geo_trim_trap(spark):
     assert len(r) == 1 and r[0]["latitude"] == 28.44 and r[0]["longitude"] == 76.82
 
 
-def test_complement_median_vs_bruteforce(spark, force_buckets):
+def test_complement_median_vs_bruteforce(spark, monkeypatch):
+    from acreage.operators import ordered
+    monkeypatch.setattr(ordered, "bucket_number", lambda df: 64)
     rng = np.random.default_rng(7)
     n = 3000
     am = [list(rng.choice(["gym", "pool", "lift", "park"], size=rng.integers(0, 4), replace=False)) for _ in range(n)]
