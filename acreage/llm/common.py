@@ -3,6 +3,8 @@ bitmap of hashes, and vectorised word hashing over UTF-8 bytes."""
 
 from __future__ import annotations
 
+import gc
+import hashlib
 import uuid
 
 import numpy as np
@@ -33,7 +35,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     lineage, survives lost executors, and later reads prune columns."""
     path = shared_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more (their successors are written), through the file system of their
+    path; the shuffle files behind them go when the driver's collector finds them unused, which is asked for here."""
+    for df in frames:
+        spark, path = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -86,6 +100,29 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((prefix[end] - prefix[start]) * down[start])
 
 
+LONG = 64                                  # bytes; what is longer is hashed by itself
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of the byte ranges [start, end).  Eight bytes at a time go through the finaliser, which is not linear, so
+    that sequences of two letters that cancel out in sums of powers (modulo 2^64) do not collide; longer ranges are hashed by BLAKE2b."""
+    raw = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=raw.data, strides=(1,))
+    size = ends - starts
+    keep = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
+    h = mix(size.astype(np.uint64) * MULT + np.uint64(seed))
+    rest = np.flatnonzero(size <= LONG)
+    for at in range(0, LONG, 8):
+        rest = rest[size[rest] > at]
+        if not len(rest):
+            break
+        h[rest] = mix(h[rest] * MULT + (eight[starts[rest] + at] & keep[np.minimum(8, size[rest] - at)]))
+    for i in np.flatnonzero(size > LONG):
+        digest = hashlib.blake2b(raw[starts[i]:ends[i]].data, digest_size=8, salt=seed.to_bytes(16, "little")).digest()
+        h[i] = int.from_bytes(digest, "little")
+    return h
+
+
 def byte_runs(data: np.ndarray, is_member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes of a class (a table of 256 booleans)."""
     inside = np.zeros(len(data) + 2, dtype=np.int8)
@@ -135,7 +172,7 @@ def word_hashes(text: bytes, is_word: np.ndarray, lower: bool = True) -> tuple[n
         part = data[a:b]
         s, e = byte_runs(part, is_word)
         if len(s):
-            hashes.append(range_hash(prefix_hash(part), s, e))
+            hashes.append(span_hashes(part, s, e))
             starts.append(s + a)
             ends.append(e + a)
     if not hashes:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreage.llm.common import SEGMENT, prefix_hash, range_hash, small_batches, text_bytes
+from acreage.llm.common import SEGMENT, small_batches, span_hashes, text_bytes
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0     # fixed value of the unigram model
@@ -54,7 +54,7 @@ class Counter:
         self.unknown_piece = vocab[0][0]
         self.unknown = min(s for _, s in vocab) - UNKNOWN_PENALTY
         self.most_known = most_known
-        self.keys, self.counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.keys, self.second, self.counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
 
     def count(self, word: str) -> int:
         """Tokens of one word (with its mark)."""
@@ -90,20 +90,24 @@ class Counter:
         return tokens[n]
 
     def of_words(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        hashes = range_hash(prefix_hash(np.frombuffer(data, dtype=np.uint8)), starts, ends)
-        keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        plain = np.frombuffer(data, dtype=np.uint8)
+        keys, first, which = np.unique(span_hashes(plain, starts, ends), return_index=True, return_inverse=True)
+        second = span_hashes(plain, starts, ends, 1)         # tells words of one hash apart
         place = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), dtype=bool)
         inside = place < len(self.keys)
         known[inside] = self.keys[place[inside]] == keys[inside]
+        if (second[first][which] != second).any() or (self.second[place[known]] != second[first][known]).any():
+            return np.array([self.count(MARK + data[a:b].decode("utf-8", "replace")) for a, b in zip(starts, ends)], dtype=np.int64)
         if not known.all():
             if len(self.keys) + int((~known).sum()) > self.most_known:
-                self.keys, self.counts = self.keys[:0], self.counts[:0]
+                self.keys, self.second, self.counts = self.keys[:0], self.second[:0], self.counts[:0]
                 known[:] = False
             new = np.flatnonzero(~known)
             found = [self.count(MARK + data[starts[i]:ends[i]].decode("utf-8", "replace")) for i in first[new]]
             where = np.searchsorted(self.keys, keys[new])
             self.keys = np.insert(self.keys, where, keys[new])
+            self.second = np.insert(self.second, where, second[first][new])
             self.counts = np.insert(self.counts, where, found)
             place = np.searchsorted(self.keys, keys)
         return self.counts[place][which]

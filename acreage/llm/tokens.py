@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-from acreage.llm.common import SEGMENT, prefix_hash, range_hash
+from acreage.llm.common import SEGMENT, span_hashes
 
 # White space that the pre-tokenizer may join to a neighbour, and letters (ASCII).
 _BLANK = np.zeros(256, dtype=bool)
@@ -79,40 +79,50 @@ class Encoder:
                 mask[at + m.end()] = True
 
     def _forget(self) -> None:
-        self.keys = np.zeros(0, dtype=np.uint64)
+        self.keys, self.second = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
         self.at = np.zeros(0, dtype=np.int64)
         self.size = np.zeros(0, dtype=np.int32)
-        self.flat = np.zeros(0, dtype=np.int32)
+        self.flat, self.used = np.zeros(0, dtype=np.int32), 0
 
-    def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, second: np.ndarray, chunks: list[str]) -> None:
         if len(self.keys) + len(keys) > self.most_known:
             self._forget()
         ids = [np.asarray(e.ids, dtype=np.int32)
                for i in range(0, len(chunks), 2000)
                for e in self.tokenizer.encode_batch_fast(chunks[i:i + 2000], add_special_tokens=False)]
         size = np.fromiter((len(x) for x in ids), dtype=np.int32, count=len(ids))
-        at = len(self.flat) + np.cumsum(size, dtype=np.int64) - size
-        self.flat = np.concatenate([self.flat, *ids])
+        new = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
+        at = self.used + np.cumsum(size, dtype=np.int64) - size
+        if self.used + len(new) > len(self.flat):            # room is doubled, so each id is copied a few times at most
+            self.flat = np.concatenate([self.flat[:self.used], np.zeros(max(len(new), self.used, 1 << 16), dtype=np.int32)])
+        self.flat[self.used:self.used + len(new)] = new
+        self.used += len(new)
         where = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, where, keys)
+        self.second = np.insert(self.second, where, second)
         self.at = np.insert(self.at, where, at)
         self.size = np.insert(self.size, where, size)
 
     def _segment(self, data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a byte string cut at ``starts`` (the first is 0), and the number of ids of each chunk."""
         ends = np.append(starts[1:], len(data))
-        hashes = range_hash(prefix_hash(np.frombuffer(data, dtype=np.uint8)), starts, ends)
-        keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        plain = np.frombuffer(data, dtype=np.uint8)
+        keys, first, which = np.unique(span_hashes(plain, starts, ends), return_index=True, return_inverse=True)
+        second = span_hashes(plain, starts, ends, 1)         # tells chunks of one hash apart
         place = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), dtype=bool)
         inside = place < len(self.keys)
         known[inside] = self.keys[place[inside]] == keys[inside]
+        if (second[first][which] != second).any() or (self.second[place[known]] != second[first][known]).any():
+            ids = [np.asarray(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(
+                [data[a:b].decode("utf-8", "replace") for a, b in zip(starts, ends)], add_special_tokens=False)]
+            return np.concatenate(ids), np.array([len(x) for x in ids], dtype=np.int32)
         if not known.all():
             new = np.flatnonzero(~known)
             if len(self.keys) + len(new) > self.most_known:
                 self._forget()
                 new = np.arange(len(keys))
-            self._learn(keys[new], [data[starts[i]:ends[i]].decode("utf-8", "replace") for i in first[new]])
+            self._learn(keys[new], second[first][new], [data[starts[i]:ends[i]].decode("utf-8", "replace") for i in first[new]])
             place = np.searchsorted(self.keys, keys)
         size, at = self.size[place][which], self.at[place][which]
         total = int(size.sum())

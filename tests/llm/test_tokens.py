@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from acreage.llm import packing, token_files
-from acreage.llm.token_path import BYTE_BPE
+from acreage.llm.token_path import BYTE_BPE, PIECES_32K
 from acreage.llm.tokens import Encoder, encoder
 
 SCHEMA = "doc_id bigint, text string, length string, offset int"
@@ -176,3 +176,43 @@ def test_token_file_is_public_format_and_checked(spark, tmp_path):
 def test_token_files_empty_table(spark):
     manifest = token_files.write(spark.createDataFrame([], SCHEMA), BYTE_BPE)
     assert token_files.read(manifest).count() == 0
+
+
+def thue_morse(n):
+    a, b = "ab", "ba"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_collide_in_sums_of_powers(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2^64, whatever the odd factor."""
+    import tokenizers
+
+    from acreage.llm import jaccard
+    from acreage.llm.token_counts import Counter, vocabulary
+    from acreage.llm.tokens import Encoder
+    a, b = thue_morse(9)
+    e, t = a.replace("a", "e").replace("b", "t"), b.replace("a", "e").replace("b", "t")
+    plain = tokenizers.Tokenizer.from_file(BYTE_BPE)
+    for pair in ((a, b), (e, t)):
+        got = list(Encoder(BYTE_BPE, as_text=False).encode([x.encode() for x in pair]))
+        assert [g.tolist() for g in got] == [plain.encode(x, add_special_tokens=False).ids for x in pair]
+        counts = [Counter(vocabulary(PIECES_32K)).of_texts([x.encode()])[0] for x in pair]
+        assert Counter(vocabulary(PIECES_32K)).of_texts([x.encode() for x in pair]) == counts
+    assert not set(jaccard.token_set(a.encode(), 5).tolist()) & set(jaccard.token_set(b.encode(), 5).tolist())
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    import numpy as np
+    import tokenizers
+
+    from acreage.llm import token_counts, tokens
+    real = tokens.span_hashes
+    for module in (tokens, token_counts):
+        monkeypatch.setattr(module, "span_hashes", lambda d, s, e, seed=0: real(d, s, e, seed) if seed else np.zeros(len(s), dtype=np.uint64))
+    texts = [b"one two three", b"two", b"one one"]
+    plain = tokenizers.Tokenizer.from_file(BYTE_BPE)
+    assert [x.tolist() for x in tokens.Encoder(BYTE_BPE, as_text=False).encode(texts)] == [plain.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+    c = token_counts.Counter(token_counts.vocabulary(PIECES_32K))
+    assert c.of_texts(texts) == [sum(c.count(token_counts.MARK + w) for w in t.decode().split()) for t in texts]
