@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreage.llm.common import stored
+from acreage.llm.common import discard, stored
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = (large.join(_nearest(large), "u")
                  .select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))))
                  .where("u != v").distinct())
-        edges = stored(small, "edges")
+        before, edges = edges, stored(small, "edges")
+        discard(before)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:                  # the same edges twice: every node points to its root
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

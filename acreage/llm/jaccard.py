@@ -31,11 +31,12 @@ empty table gives no rows; other columns pass through ``keep_one``.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreage.llm.common import bitmap, in_bitmap, list_array, mix, shingle_hashes, small_batches, stored, text_bytes, word_hashes
+from acreage.llm.common import bitmap, discard, in_bitmap, list_array, mix, shingle_hashes, small_batches, stored, text_bytes, word_hashes
 from acreage.llm.components import components
 
 WORD = np.ones(256, dtype=bool)
@@ -125,13 +126,16 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, text: str, key: st
 
 
 def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int, num: int, den: int, text: str, key: str) -> DataFrame:
-    """The pairs (a, b) of classes whose sets have the similarity."""
+    """The pairs (a, b) of classes whose sets have the similarity.  The stored table of pairs is deleted."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(classes.select("set_id", "text_id"), "set_id")
-    sets = stored(sets_of(docs, stored(wanted, "wanted"), shingle, text, key), "sets")
+    wanted = stored(wanted, "wanted")
+    sets = stored(sets_of(docs, wanted, shingle, text, key), "sets")
     left, right = sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.join(left, "a").join(right, "b")
     enough = F.size(F.array_intersect("ta", "tb")) * (num + den) >= num * (F.size("ta") + F.size("tb"))
-    return stored(both.where(enough).select("a", "b").distinct(), "links")
+    links = stored(both.where(enough).select("a", "b").distinct(), "links")
+    discard(wanted, sets, pairs)
+    return links
 
 
 def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -173,6 +177,8 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, text:
                                              names=["set_id", "n", "size", "at", "nth", "token"])
 
     posts = stored(reps.mapInArrow(postings, "set_id bigint, n bigint, size int, at int, nth int, token bigint").join(tokens, "token", "left_semi"), "postings")
+    rows = stored(every.select("doc_id", "text_id", "n", "set_id"), "rows")
+    discard(every, tokens)
 
     # groups and their leaders
     member = posts.groupBy("set_id", "n", "size").agg(F.count("*").alias("c"), *[F.min(F.xxhash64("token", F.lit(int(x.view(np.int64))))).alias(f"k{i}") for i, x in enumerate(SEEDS)])
@@ -182,7 +188,9 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, text:
     stars = (groups.join(leaders, ["seed", "group"]).where(F.col("set_id") != F.col("lead.set_id")).where(fits(F.col("n"), F.col("lead.n")))
              .groupBy(F.greatest("set_id", "lead.set_id").alias("a"), F.least("set_id", "lead.set_id").alias("b")).agg(F.count("*").alias("seeds"))
              .where("seeds > 1").select("a", "b"))          # one seed alone is mostly chance; step 4 misses nothing
-    links = verify(docs, stored(stars, "stars"), classes, shingle, num, den, text, key)
+    stars = stored(stars, "stars")
+    discard(groups)
+    links = verify(docs, stars, classes, shingle, num, den, text, key)
     roots = components(links)
 
     def crossing(roots: DataFrame) -> DataFrame:
@@ -199,8 +207,10 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, text:
     second = verify(docs, stored(near, "near"), classes, shingle, num, den, text, key)
     if not second.isEmpty():
         links = stored(links.unionByName(second), "links")
-        roots = components(links)
+        roots, before = components(links), placed
         placed = crossing(roots)
+        discard(before)
+    discard(posts)
 
     # classes of different components that tokens still connect are bounded pair by pair
     x = placed.select("token", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("nth").alias("qa"), F.col("root").alias("ra"))
@@ -210,7 +220,9 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, text:
     room = F.least("qa", "qb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     opened = (x.join(y, "token").where("ra < rb").where(fits(F.col("na"), F.col("nb"))).where(room * (num + den) >= num * (F.col("na") + F.col("nb")))
               .select("a", "b").distinct())
-    more = verify(docs, stored(opened, "opened"), classes, shingle, num, den, text, key)
+    opened = stored(opened, "opened")
+    discard(placed)
+    more = verify(docs, opened, classes, shingle, num, den, text, key)
     if more.isEmpty():
         final = roots
     else:
@@ -220,17 +232,26 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, text:
     of_root = least.groupBy("root").agg(F.min("least").alias("component_id"), F.min("row").alias("row"))
     named = least.drop("least", "row").join(of_root, "root").select("set_id", "component_id", "row")
     kept = F.col("set_id").isNull() | (F.struct("doc_id", "text_id") == F.col("row"))
-    return (every.select("doc_id", "text_id", F.col("n").alias("n_shingles"), "set_id").join(named, "set_id", "left")
+    return (rows.select("doc_id", "text_id", F.col("n").alias("n_shingles"), "set_id").join(named, "set_id", "left")
             .select("doc_id", "text_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), kept.alias("kept")))
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """One document of each component: the one of the least key, of equal keys that of the least hash of key and
     text, of repeated rows any.  Documents with empty sets stay."""
-    found = similar(docs, text=text, key=key, **options)
-    drop = found.where("not kept").select(F.col("text_id").alias("_drop")).distinct()
-    empty = found.where("n_shingles = 0").select(F.col("text_id").alias("_empty")).distinct()
-    named = docs.withColumn("_id", text_id(key, text))
-    rest = named.join(drop, F.col("_id") == F.col("_drop"), "left_anti").join(empty, F.col("_id") == F.col("_empty"), "left")
-    rest = rest.withColumn("_copy", F.row_number().over(Window.partitionBy("_id").orderBy("_id")))
-    return rest.where("_copy = 1 or _empty is not null").select(*[f"`{c}`" for c in docs.columns])
+    found = similar(docs, text=text, key=key, **options).select("text_id", "n_shingles", "kept")
+    # what happens to a row's identity: all its rows go, or one stays; identities that only stay as they are are left out
+    fate = found.where("n_shingles > 0").groupBy("text_id").agg(F.max("kept").alias("one"), F.count(F.lit(1)).alias("rows")).where("not one or rows > 1")
+    fate = stored(fate.select("text_id", "one"), "fate")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(fate.select(F.xxhash64("text_id").alias("h")), "h", MEMBERS_LOG2))
+
+    @F.pandas_udf("boolean")
+    def touched(h: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(bits.value, h.to_numpy().view(np.uint64)))
+
+    # only the few texts that the bitmap lets through (all that can go, and some by chance) are shuffled
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_id(key, text).alias("text_id"))
+    rows = rows.withColumn("touched", touched(F.xxhash64("text_id")))
+    some = rows.where("touched").join(fate, "text_id", "left")
+    one = some.where("one").groupBy("text_id").agg(F.first("row").alias("row"))
+    return rows.where("not touched").select("row").unionByName(some.where("one is null").select("row")).unionByName(one.select("row")).select("row.*")

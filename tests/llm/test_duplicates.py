@@ -60,6 +60,17 @@ def test_jaccard_components(spark, seed):
     assert got == sorted(plain.jaccard_components(rows), key=str)
 
 
+def test_keep_one_with_clashing_names_and_repeated_rows(spark):
+    text = "one two three four five six seven eight"
+    rows = [(1, text), (2, text), (2, text), (3, "another text of its own with words"), (3, "another text of its own with words"), (4, ""), (4, ""), (5, None), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        "*", *[f"1 as {n}" for n in ("_drop", "_empty", "_id", "_copy", "row", "text_id", "touched", "one", "n_shingles")])
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(
+        [(None, text), (3, rows[3][1]), (4, ""), (4, ""), (5, None)], key=repr)
+
+
 def test_jaccard_keep_one(spark):
     rows = documents()
     want = plain.jaccard_components(rows)
