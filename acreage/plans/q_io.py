@@ -103,6 +103,11 @@ def html_fields(spark, sf):
     return f.select("page_id", "host", "lang", "title", "h1", "n_links", "n_paragraphs")
 
 
-@query("sample_rows", ops="H10")
+@query("sample_rows", ops="H10", sql="""
+SELECT o_orderkey, o_totalprice FROM (
+  SELECT o_orderkey, o_totalprice, count(*) OVER () AS n,
+         row_number() OVER (ORDER BY ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 15))::BIGINT, o_orderkey) AS r FROM orders)
+WHERE r <= ceil(n * 0.1)
+""")
 def sample_rows(spark, sf):
-    return io.sample(table(spark, sf, "orders"), 0.1, 42).select("o_orderkey", "o_totalprice")
+    return io.sample(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 0.1, 42, "o_orderkey")

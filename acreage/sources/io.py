@@ -109,6 +109,10 @@ def lower_header(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lower() for c in df.columns])
 
 
-def sample(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """Bernoulli sample, reproducible for a fixed input partitioning."""
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
+def sample(df: DataFrame, fraction: float, seed: int = 42, key: Sequence[str] | str | None = None) -> DataFrame:
+    """Exactly ceil(n * fraction) rows, those of the smallest seeded hash of ``key`` (all columns when None), whatever
+    the partitioning.  Ranks come from value buckets, so no task sorts all rows.  Of rows with one key any may be taken."""
+    from acreage.operators.ordered import hash_order, row_ranks
+    keys = [key] if isinstance(key, str) else list(key or df.columns)
+    ranked = row_ranks(df.withColumn("__h", hash_order(keys, seed)), "__h", tie_break=keys, out="__rank")
+    return ranked.where(F.col("__rank") <= F.ceil(F.col("_tot") * fraction - 1e-9)).select(*df.columns)

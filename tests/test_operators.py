@@ -166,3 +166,23 @@ def test_feature_score_formula(spark):
     out = {r["feature"]: r for r in feature_score(df).collect()}
     assert math.isclose(out["a"]["avg_importance"], 1.0) and math.isclose(out["a"]["final_score"], 1.0)
     assert math.isclose(out["b"]["avg_importance"], (0 + 1 / 3 + 0) / 3)
+
+
+def test_sample_does_not_depend_on_partitions(spark):
+    from acreage.sources import io
+    df = spark.range(1001).selectExpr("id", "id % 7 as v")
+    picks = [sorted(r["id"] for r in io.sample(df.repartition(p), 0.1, 7, "id").collect()) for p in (1, 64)]
+    assert picks[0] == picks[1] and len(picks[0]) == 101
+    assert io.sample(df, 0.1, 8, "id").where(~df.id.isin(picks[0])).count() > 50
+    assert io.sample(df, 0.0, 7).count() == 0 and io.sample(df, 1.0, 7).count() == 1001
+    assert io.sample(df.limit(0), 0.5).count() == 0
+
+
+def test_cost_of_one_cluster(spark):
+    from pyspark.ml.functions import array_to_vector
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(50, 3))
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "a array<double>").select(array_to_vector("a").alias("f"))
+    rows = {r["k"]: r for r in features.cluster_diagnostics(df, "f", [1, 2], inits=2).collect()}
+    assert math.isclose(rows[1]["inertia"], ((x - x.mean(0)) ** 2).sum(), rel_tol=1e-9) and rows[1]["silhouette"] is None
+    assert rows[2]["inertia"] < rows[1]["inertia"] and rows[2]["silhouette"] is not None
