@@ -256,25 +256,72 @@ def extremes(df: DataFrame, c: str, n: int, largest: bool = True, tie_break: Seq
     return df.orderBy(o, *[F.col(t) for t in tie_break]).limit(n)
 
 
-def profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Per-column profile: type, rows, nulls, exact distinct count, min, max (as
-    text), mean for numerics — one aggregate pass plus one distinct pass per column."""
+PROFILE_PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
+SKETCH_ITEMS = 8192        # items that a frequent-items sketch tracks: its error is below a 2,000th of the rows
+
+
+def unpivot(df: DataFrame, cols: Sequence[str], kind: str) -> DataFrame:
+    """(column, value) of every cell that is not null, in one scan."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast(kind).alias("value")) for c in cols])
+    return df.select(F.inline(cells)).where("value is not null")
+
+
+def top_values(df: DataFrame, cols: Sequence[str] | None = None, k: int = 5, support: float = 0.005) -> DataFrame:
+    """(column, top): the ``k`` most frequent values of each column among those that fill at least ``support`` of
+    the rows, as text with exact counts; more frequent ones first, then by value.
+
+    Exact in two passes whatever the number of different values.  A mergeable frequent-items sketch for each column
+    names every value of that support (and at most a few hundred others); the second pass counts only those, with
+    partial sums before its shuffle.  So a column of unique values sends nothing but its sketch.  ``support`` must be
+    at least 0.005, ten times the error of the sketch, which bounds the candidates that are broadcast."""
+    if support < 0.005:
+        raise ValueError("support must be at least 0.005")
+    cols = list(cols or df.columns)
+    sketches = [F.expr(f"approx_top_k(cast(`{c}` as string), {SKETCH_ITEMS}, {SKETCH_ITEMS})").alias(f"__t{i}") for i, c in enumerate(cols)]
+    row = df.agg(F.count(F.lit(1)).alias("__rows"), *sketches)
+    least = F.greatest(F.ceil(F.lit(float(support)) * F.col("__rows")), F.lit(1))
+    found = F.array(*[F.struct(F.lit(c).alias("column"), F.filter(f"__t{i}", lambda x: x["item"].isNotNull() & (x["count"] >= least)).alias("items"))
+                      for i, c in enumerate(cols)])
+    wanted = (row.select(least.alias("least"), F.inline(found)).select("least", "column", F.explode("items").alias("x"))
+              .select("least", "column", F.col("x.item").alias("value")))
+    counts = (unpivot(df, cols, "string").join(F.broadcast(wanted), ["column", "value"])
+              .groupBy("column", "value", "least").agg(F.count(F.lit(1)).alias("n")).where("n >= least"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "value", "n"))), 1, k)
+    return counts.groupBy("column").agg(F.transform(best, lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias("top"))
+
+
+def profile(df: DataFrame, cols: Sequence[str] | None = None, probs: Sequence[float] = PROFILE_PROBS, k: int = 5,
+            support: float = 0.005) -> DataFrame:
+    """Per-column profile: type, rows, nulls, exact distinct count, min, max (as text), mean and exact quantiles
+    (``quantiles``, in the order of ``probs``) for numerics, and the most frequent values (``top``, see
+    :func:`top_values`; empty where no value has the support).  The quantiles of all columns come from one ordered
+    pass over (column, value)."""
     cols = list(cols or df.columns)
     dtypes = dict(df.dtypes)
     numeric = {"int", "bigint", "double", "float", "smallint", "tinyint"}
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(cols):
-        aggs += [F.sum(F.col(c).isNull().cast("long")).alias(f"__n{i}"),
-                 F.count_distinct(F.col(c)).alias(f"__d{i}"),
-                 F.min(c).cast("string").alias(f"__lo{i}"), F.max(c).cast("string").alias(f"__hi{i}"),
-                 (F.avg(c) if dtypes[c] in numeric else F.lit(None).cast("double")).alias(f"__m{i}")]
+        v = F.col(f"`{c}`")
+        aggs += [F.sum(v.isNull().cast("long")).alias(f"__n{i}"),
+                 F.count_distinct(v).alias(f"__d{i}"),
+                 F.min(v).cast("string").alias(f"__lo{i}"), F.max(v).cast("string").alias(f"__hi{i}"),
+                 (F.avg(v) if dtypes[c] in numeric else F.lit(None).cast("double")).alias(f"__m{i}")]
     row = df.agg(*aggs)
     arr = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(dtypes[c]).alias("dtype"),
-                             F.col(f"__n{i}").cast("long").alias("n_null"),
+                             F.coalesce(f"__n{i}", F.lit(0)).cast("long").alias("n_null"),
                              F.col(f"__d{i}").cast("long").alias("n_distinct"),
                              F.col(f"__lo{i}").alias("min"), F.col(f"__hi{i}").alias("max"),
                              F.col(f"__m{i}").alias("mean")) for i, c in enumerate(cols)])
-    return row.select(F.col("__rows").cast("long").alias("n_rows"), F.inline(arr))
+    out = row.select(F.col("__rows").cast("long").alias("n_rows"), F.inline(arr))
+    numbers = [c for c in cols if dtypes[c] in numeric]
+    if numbers:
+        names = [f"__q{i}" for i in range(len(probs))]
+        q = quantiles(unpivot(df, numbers, "double"), "value", probs, ["column"], names=names)
+        out = out.join(q.select("column", F.array(*names).alias("quantiles")), "column", "left")
+    else:
+        out = out.withColumn("quantiles", F.lit(None).cast("array<double>"))
+    none = F.array().cast("array<struct<value:string,n:bigint>>")
+    return out.join(top_values(df, cols, k, support), "column", "left").withColumn("top", F.coalesce("top", none))
 
 
 def score_buckets(df: DataFrame, score: str, target: str, q: int) -> DataFrame:

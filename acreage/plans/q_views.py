@@ -271,29 +271,31 @@ def duplicates(spark, sf):
     return stats.duplicates(table(spark, sf, "documents"), ["text"])
 
 
-@query("profile", ops="E28", sql="""
-SELECT * FROM (
- SELECT 'o_orderkey' AS column, 'bigint' AS dtype, count(*) FILTER (WHERE o_orderkey IS NULL) AS n_null,
-        count(DISTINCT o_orderkey) AS n_distinct, CAST(min(o_orderkey) AS VARCHAR) AS min,
-        CAST(max(o_orderkey) AS VARCHAR) AS max, round(avg(o_orderkey), 6) AS mean FROM orders
- UNION ALL
- SELECT 'o_custkey', 'bigint', count(*) FILTER (WHERE o_custkey IS NULL), count(DISTINCT o_custkey),
-        CAST(min(o_custkey) AS VARCHAR), CAST(max(o_custkey) AS VARCHAR), round(avg(o_custkey), 6) FROM orders
- UNION ALL
- SELECT 'o_orderstatus', 'string', count(*) FILTER (WHERE o_orderstatus IS NULL), count(DISTINCT o_orderstatus),
-        min(o_orderstatus), max(o_orderstatus), NULL FROM orders
- UNION ALL
- SELECT 'o_totalprice', 'double', count(*) FILTER (WHERE o_totalprice IS NULL), count(DISTINCT o_totalprice),
-        CAST(min(o_totalprice) AS VARCHAR), CAST(max(o_totalprice) AS VARCHAR), round(avg(o_totalprice), 6) FROM orders
- UNION ALL
- SELECT 'o_orderpriority', 'string', count(*) FILTER (WHERE o_orderpriority IS NULL), count(DISTINCT o_orderpriority),
-        min(o_orderpriority), max(o_orderpriority), NULL FROM orders
-) t CROSS JOIN (SELECT count(*) AS n_rows FROM orders) r
-""")
+PROFILED = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+            "o_orderpriority": "string"}
+
+
+def profile_sql(c: str, kind: str) -> str:
+    """One column's row of the profile."""
+    number = kind != "string"
+    mean = f"round(avg({c}), 6)" if number else "CAST(NULL AS DOUBLE)"
+    quantile = "; ".join(["%.2f"] * 5)
+    q = f"printf('{quantile}', " + ", ".join(f"round(quantile_cont({c}, {p}), 2)" for p in (0.05, 0.25, 0.5, 0.75, 0.95)) + ")" if number else "CAST(NULL AS VARCHAR)"
+    return f"""SELECT '{c}' AS column, '{kind}' AS dtype, count(*) AS n_rows, count(*) FILTER (WHERE {c} IS NULL) AS n_null,
+       count(DISTINCT {c}) AS n_distinct, CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max,
+       {mean} AS mean, {q} AS quantiles,
+       (SELECT coalesce(string_agg(v || '=' || n, '; ' ORDER BY n DESC, v), '')
+        FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM orders WHERE {c} IS NOT NULL GROUP BY 1
+              HAVING count(*) >= greatest(ceil(0.005 * (SELECT count(*) FROM orders)), 1) ORDER BY n DESC, v LIMIT 5)) AS top
+FROM orders"""
+
+
+@query("profile", ops="E28", sql=" UNION ALL ".join(profile_sql(c, kind) for c, kind in PROFILED.items()))
 def profile(spark, sf):
-    o = table(spark, sf, "orders")
-    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
-    return round_doubles(stats.profile(o, cols))
+    out = round_doubles(stats.profile(table(spark, sf, "orders"), list(PROFILED)))
+    quantile = F.transform("quantiles", lambda x: F.format_string("%.2f", F.round(x, 2)))
+    return out.withColumn("quantiles", F.array_join(quantile, "; ")).withColumn(
+        "top", F.array_join(F.transform("top", lambda x: F.concat_ws("=", x["value"], x["n"].cast("string"))), "; "))
 
 
 CORR_COLS = ["price", "area", "rate", "bedrooms", "discount", "tax"]
