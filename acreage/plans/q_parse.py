@@ -185,6 +185,34 @@ def map_explode(spark, sf):
     return x.groupBy("event_type", "key").agg(F.sum("value").cast("long").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
+@query("literal_fields", ops="A4", sql=r"""
+SELECT o_orderkey, o_orderkey % 7 = 3 AS bad, o_orderkey % 7 <> 3 AND o_orderstatus = 'F' AS done,
+       CASE WHEN o_orderkey % 7 <> 3 AND o_custkey % 3 > 0 THEN o_custkey ELSE -1 END AS customer,
+       CASE WHEN o_orderkey % 7 <> 3 THEN round(o_totalprice, 2) END AS price,
+       CASE WHEN o_orderkey % 7 <> 3 THEN o_orderpriority || chr(39) || 's "' || o_orderstatus || chr(10) || '\' END AS note,
+       CASE WHEN o_orderkey % 7 <> 3 THEN o_orderkey % 7 ELSE 0 END AS n_tags
+FROM orders
+""")
+def literal_fields(spark, sf):
+    """Orders written as Python literals (None, True, tuples, both quotes, escapes, strings side by side, trailing
+    commas; each seventh one is cut off) and read back."""
+    from acreage.functions.literal import is_bad_literal
+    o = table(spark, sf, "orders")
+    tags = F.concat(F.lit("("), F.repeat(F.lit("'x', "), (F.col("o_orderkey") % 7).cast("int")), F.lit(")"))
+    text = F.concat(
+        F.lit("{'done': "), F.when(F.col("o_orderstatus") == "F", "True").otherwise("False"),
+        F.lit(", u'customer': "), F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey").cast("string")).otherwise("None"),
+        F.lit(', "price": +'), F.round("o_totalprice", 2).cast("decimal(18,2)").cast("string"),
+        F.lit(", 'note': '"), F.col("o_orderpriority"), F.lit(r"""\'s "' """), F.lit('"'), F.col("o_orderstatus"), F.lit(r"""\n\\", 'tags': """), tags,
+        F.when(F.col("o_orderkey") % 7 == 3, "").otherwise(",}"))
+    kind = "struct<done: boolean, customer: bigint, price: double, note: string, tags: array<string>>"
+    d = o.select("o_orderkey", text.alias("text")).select("o_orderkey", is_bad_literal("text").alias("bad"), P.decode_literal("text", kind, empty=False).alias("d"))
+    ok = ~F.col("bad")
+    return d.select("o_orderkey", "bad", (ok & F.coalesce("d.done", F.lit(False))).alias("done"), F.coalesce(F.when(ok, F.col("d.customer")), F.lit(-1).cast("long")).alias("customer"),
+                    F.when(ok, F.round("d.price", 2)).alias("price"), F.when(ok, F.col("d.note")).alias("note"),
+                    F.when(ok, F.size("d.tags").cast("long")).otherwise(F.lit(0).cast("long")).alias("n_tags"))
+
+
 PRICE_DETAILS_SCHEMA = P.PRICE_DETAILS_SCHEMA
 
 
