@@ -50,6 +50,14 @@ def discard(*frames: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores after it while a column is called so (Spark compares names without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """Whole texts are large rows: at most 1,000 of them in an Arrow batch of this session, which
     bounds the memory of Python workers."""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreage.llm.common import bitmap, in_bitmap, list_array, shingle_hashes, small_batches, stored, text_bytes, word_hashes
+from acreage.llm.common import bitmap, in_bitmap, list_array, shingle_hashes, small_batches, stored, text_bytes, unused, word_hashes
 
 WORD = np.zeros(256, dtype=bool)
 WORD[ord("0"):ord("9") + 1] = True
@@ -147,5 +147,6 @@ def drop_hit(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int =
     """The documents in which no window occurs."""
     same = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("_row"), F.col(text).alias("_text"))
     documents, matches, _ = find_windows(same, items, window, shingle, doc_text="_text", doc_key="_row", **names)
-    hit = documents.join(matches.select("row").distinct(), "row", "left_semi").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.xxhash64(F.col(key), F.col(text)) == F.col("_hit"), "left_anti")
+    name = unused(docs.columns, "_hit")
+    hit = documents.join(matches.select("row").distinct(), "row", "left_semi").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(hit, F.xxhash64(F.col(key), F.col(text)) == F.col(name), "left_anti")

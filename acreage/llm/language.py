@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreage.llm.common import small_batches
+from acreage.llm.common import small_batches, unused
 
 LOG2_BUCKETS = 16
 SIZES = (2, 3, 4)
@@ -217,8 +217,10 @@ def logits(model: Model, texts: list[str]) -> np.ndarray:
     return total / np.maximum(number, 1)[:, None] + model.bias
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds the struct ``_lang`` (pred, score, rejected)."""
+def predict(docs: DataFrame, model: Model, text: str = "text", out: str = "_lang") -> DataFrame:
+    """Adds the struct ``out`` (pred, score, rejected), in place of an input column of that name.  Of equal scores the
+    language that comes first by name is predicted."""
+    docs = docs.drop(out)
     shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)      # 2^LOG2_BUCKETS rows of one number a language
     names = [f"`{c}`" for c in docs.columns]
     rows = docs.select(F.struct(*names).alias("row"), F.col(text).alias("text"))
@@ -229,16 +231,16 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             use = [i for i, t in enumerate(texts) if t and m.langs and any(x.isalpha() for x in t)]
-            pred, top, out = [UNDETERMINED] * len(texts), [0.0] * len(texts), [True] * len(texts)
+            pred, top, low = [UNDETERMINED] * len(texts), [0.0] * len(texts), [True] * len(texts)
             if use:
                 p = softmax(logits(m, [texts[i] for i in use]) / m.temperature)
                 for i, j, s in zip(use, p.argmax(axis=1).tolist(), p.max(axis=1).tolist()):
-                    pred[i], top[i], out[i] = m.langs[j], s, s < m.threshold
-            found = pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(top, pa.float64()), pa.array(out, pa.bool_())], names=["pred", "score", "rejected"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["row", "_lang"])
+                    pred[i], top[i], low[i] = m.langs[j], s, s < m.threshold
+            found = pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(top, pa.float64()), pa.array(low, pa.bool_())], names=["pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["row", out])
 
-    done = rows.mapInArrow(score, f"row {kind}, _lang struct<pred:string,score:double,rejected:boolean>")
-    return done.select(*[F.col(f"row.{c}") for c in names], "_lang")
+    done = rows.mapInArrow(score, f"row {kind}, `{out}` struct<pred:string,score:double,rejected:boolean>")
+    return done.select(*[F.col(f"row.{c}") for c in names], out)
 
 
 def is_held_out(key: str = "doc_id"):
@@ -252,4 +254,5 @@ def train(docs: DataFrame, max_rows: int = 2000, max_features: int = 4096, text:
 
 def keep(docs: DataFrame, **options) -> DataFrame:
     """The documents whose language is not rejected."""
-    return predict(docs, train(docs, **options)).where(~F.col("_lang.rejected")).drop("_lang")
+    out = unused(docs.columns, "_lang")
+    return predict(docs, train(docs, **options), options.get("text", "text"), out).where(~F.col(f"{out}.rejected")).drop(out)

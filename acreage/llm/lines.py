@@ -9,8 +9,9 @@ the lines near it get an exact distinct count.  Every occurrence of a line of at
 
 Defined results: null text stays null and blank lines are never boilerplate; a null
 site counts as no site; repeated rows are treated alike; equal keys with other texts
-are told apart by a hash of the text; an empty table gives no rows; other columns pass
-through ``remove`` whatever their names.
+are told apart by a hash of the text; an empty table gives no rows; a very long text is
+cut into its lines, and a very long line is one hash; other columns pass through
+``remove`` whatever their names, but one called like the output column is replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreage.llm.common import small_batches, stored
+from acreage.llm.common import small_batches, stored, unused
 
 BLANK_CHARS = " \t\n\u000b\f\r"
 
@@ -46,19 +47,21 @@ def boilerplate(lines: DataFrame, least_sites: int = 10, lg_k: int = 10, margin:
     return sure.unionByName(exact)
 
 
-def remove(docs: DataFrame, least_sites: int = 10, text: str = "text", key: str = "doc_id", site: str = "source") -> DataFrame:
-    """The documents without boilerplate lines, and the struct ``_lines`` (total, removed): lines with
+def remove(docs: DataFrame, least_sites: int = 10, text: str = "text", key: str = "doc_id", site: str = "source", out: str = "_lines") -> DataFrame:
+    """The documents without boilerplate lines, and the struct ``out`` (total, removed): lines with
     a character before, and how many of them went."""
+    docs = docs.drop(out)
+    found, marked = unused(docs.columns, "_found"), unused([*docs.columns, out], "_gone")
     lines = stored(occurrences(small_batches(docs), text, key, site), "lines")
     bad = stored(boilerplate(lines, least_sites), "boilerplate")
     per_doc = (lines.join(bad.withColumn("bad", F.lit(True)), "line", "left")
                .groupBy("doc", "version").agg(F.count_distinct("at").alias("total"), F.array_sort(F.collect_set(F.when(F.col("bad"), F.col("at")))).alias("gone")))
-    per_doc = per_doc.select(F.struct("doc", "version", "total", "gone").alias("_found"))
-    same = F.col(key).eqNullSafe(F.col("_found.doc")) & (F.xxhash64(text) == F.col("_found.version"))
+    per_doc = per_doc.select(F.struct("doc", "version", "total", "gone").alias(found))
+    same = F.col(key).eqNullSafe(F.col(f"{found}.doc")) & (F.xxhash64(text) == F.col(f"{found}.version"))
     joined = docs.join(per_doc, same, "left")
     order = [f"`{c}`" for c in docs.columns]
-    counts = F.struct(F.coalesce("_found.total", F.lit(0)).cast("long").alias("total"), F.coalesce(F.size("_found.gone"), F.lit(0)).cast("long").alias("removed")).alias("_lines")
-    joined = joined.select(*order, counts, F.coalesce("_found.gone", F.array().cast("array<int>")).alias("_gone"))
+    counts = F.struct(F.coalesce(f"{found}.total", F.lit(0)).cast("long").alias("total"), F.coalesce(F.size(f"{found}.gone"), F.lit(0)).cast("long").alias("removed")).alias(out)
+    joined = joined.select(*order, counts, F.coalesce(f"{found}.gone", F.array().cast("array<int>")).alias(marked))
     position = docs.columns.index(text)
 
     def strip(batches):
@@ -69,7 +72,7 @@ def remove(docs: DataFrame, least_sites: int = 10, text: str = "text", key: str
             columns[position] = texts
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return joined.mapInArrow(strip, joined.drop("_gone").schema)
+    return joined.mapInArrow(strip, joined.drop(marked).schema)
 
 
 def _without(text: str, gone: list[int]) -> str:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from acreage.llm.common import small_batches, stored, text_bytes
+from acreage.llm.common import small_batches, stored, text_bytes, unused
 from acreage.llm.tokens import encoder
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
@@ -108,8 +108,10 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, ...]:
 
 
 def pack(items: DataFrame, capacity: int = 2048, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to rows with a length of 1 to ``capacity``."""
-    add = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_rank", T.LongType())])
+    """Adds ``sequence_id`` and ``offset`` to rows with a length of 1 to ``capacity``, in place of input columns of these names."""
+    items = items.drop("sequence_id", "offset")
+    dealt, ranks = unused(items.columns, "_part"), unused(items.columns, "_rank")
+    add = T.StructType([T.StructField(dealt, T.IntegerType()), T.StructField(ranks, T.LongType())])
     schema = T.StructType(items.schema.fields + add.fields)
 
     def rank(batches):
@@ -126,16 +128,16 @@ def pack(items: DataFrame, capacity: int = 2048, length: str = "length", order:
             r[run == 0] += seen if n[0] == last else 0
             last, seen = int(n[-1]), int(r[-1]) + 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(r)],
-                                             names=[*batch.schema.names, "_part", "_rank"])
+                                             names=[*batch.schema.names, dealt, ranks])
 
     keys = [F.col(length).desc(), *map(F.col, order)]
     items = stored(items, "pieces")            # the range sort reads its input twice
     ranked = stored(items.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(rank, schema), "ranked")
     # at most one row for each length and partition border
-    runs = ranked.groupBy(F.col(length).cast("bigint").alias("n"), "_part").agg(F.count("*").alias("c")).toArrow().to_pydict()
+    runs = ranked.groupBy(F.col(length).cast("bigint").alias("n"), F.col(dealt).alias("p")).agg(F.count("*").alias("c")).toArrow().to_pydict()
     counts: dict[int, int] = {}
     before: dict[tuple[int, int], int] = {}
-    for n, part, c in sorted(zip(runs["n"], runs["_part"], runs["c"])):
+    for n, part, c in sorted(zip(runs["n"], runs["p"], runs["c"])):
         before[n, part] = counts.get(n, 0)
         counts[n] = counts.get(n, 0) + c
     if counts and not 1 <= min(counts) <= max(counts) <= capacity:
@@ -153,9 +155,9 @@ def pack(items: DataFrame, capacity: int = 2048, length: str = "length", order:
             n = col(length)
             if not len(n):
                 continue
-            r = col("_rank") + at_rank[np.searchsorted(at_key, (n << 32) + col("_part"))]
+            r = col(ranks) + at_rank[np.searchsorted(at_key, (n << 32) + col(dealt))]
             row = np.searchsorted(index, n * wide + r, side="right") - 1
-            keep = [i for i, name in enumerate(batch.schema.names) if name not in ("_part", "_rank")]
+            keep = [i for i, name in enumerate(batch.schema.names) if name not in (dealt, ranks)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(sequence[row] + r - first[row]), pa.array(offset[row])],
                                              names=[*(batch.schema.names[i] for i in keep), "sequence_id", "offset"])
 

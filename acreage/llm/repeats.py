@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from acreage.llm.common import MULT, bitmap, in_bitmap, mix, prefix_hash, range_hash, small_batches, stored, text_bytes
+from acreage.llm.common import MULT, bitmap, in_bitmap, mix, prefix_hash, range_hash, small_batches, stored, text_bytes, unused
 
 GRAM = 32
 BLOCK = 1 << 20
@@ -440,20 +440,23 @@ def merged(spans: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame, length: int = 400, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The documents with the columns ``_spans`` (removed runs of bytes) and ``_kept`` (remaining bytes)."""
+    """The documents with the columns ``_spans`` (removed runs of bytes) and ``_kept`` (remaining bytes), in place of input
+    columns of these names."""
+    docs = docs.drop("_spans", "_kept")
+    own, hashed, named_text = (unused([*docs.columns, "_spans", "_kept"], x) for x in ("_id", "_hash", "_text"))
     spans = stored(merged(repeated(docs, length, text=text, key=key, **options)), "spans")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(spans.select(F.xxhash64("text_id").alias("h")), "h", LOG2_BITS - 4))
-    named = spans.select(F.col("text_id").alias("_text"), F.col("spans").alias("_spans"))
-    rows = docs.withColumn("_id", text_id(key, text)).withColumn("_hash", F.xxhash64("_id"))
+    named = spans.select(F.col("text_id").alias(named_text), F.col("spans").alias("_spans"))
+    rows = docs.withColumn(own, text_id(key, text)).withColumn(hashed, F.xxhash64(own))
 
     def some(batches, want):
         for batch in batches:
             yield batch.filter(pa.array(in_bitmap(bits.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64)) == want))
 
     # texts without a span need no shuffle: a fixed-size bitmap tells them (some others go with the join, and find nothing there)
-    touched = rows.mapInArrow(lambda b: some(b, True), rows.schema).join(named, F.col("_id") == F.col("_text"), "left").drop("_text")
+    touched = rows.mapInArrow(lambda b: some(b, True), rows.schema).join(named, F.col(own) == F.col(named_text), "left").drop(named_text)
     clean = rows.mapInArrow(lambda b: some(b, False), rows.schema).withColumn("_spans", F.lit(None).cast(named.schema["_spans"].dataType))
-    rows = touched.unionByName(clean).drop("_id", "_hash")
+    rows = touched.unionByName(clean).drop(own, hashed)
     none = F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")
     rows = rows.withColumn("_spans", F.coalesce("_spans", none)).withColumn("_kept", F.col(text))
     at, kept = docs.columns.index(text), len(docs.columns) + 1
