@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from acreage.llm.common import stored
+from acreage.operators.scalars import attach_row
 
 BLANKS = "[ \\t\\n\\u000B\\f\\r]+"
 BLANK_CHARS = " \t\n\u000b\f\r"
@@ -105,8 +106,8 @@ def thresholds(rows: DataFrame, reach: float = 3.0, least_rows: int = 100) -> Da
     wide = [F.max(F.when(F.col("measure") == m, F.col(x))).alias(f"{x}_{m}") for m in RATIOS for x in ("hi", "lo")]
     level = lambda n, keys: q.where(F.col("level") == n).groupBy(*keys).agg(F.max("rows").alias("rows"), F.struct(*wide).alias("limits"))
     own, of_lang = level(0, ["lang", "source"]), level(1, ["lang"]).withColumnsRenamed({"rows": "lang_rows", "limits": "lang_limits"})
-    every = level(2, ["level"]).select(F.lit(2).alias("top"), F.col("limits").alias("all_limits"))          # one row
-    return (own.join(of_lang, "lang").withColumn("top", F.lit(2)).join(every, "top", "left")
+    every = q.where(F.col("level") == 2).agg(F.struct(*wide).alias("all_limits"))          # one row
+    return (attach_row(own.join(of_lang, "lang"), every)
             .select("lang", "source", F.when(F.col("rows") >= least_rows, F.col("limits"))
                     .when(F.col("lang_rows") >= least_rows, F.col("lang_limits")).otherwise(F.col("all_limits")).alias("limits")))
 
