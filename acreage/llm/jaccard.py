@@ -12,20 +12,23 @@ class, so copies cost nothing further.
    shared prefix tokens, under several hash functions.  Each group's leader is the class
    with the smallest share of tokens of its own; every member is compared with it, and
    linked members become components.
-4. A token whose postings all lie in a single component needs no further work.  The other
-   postings are joined by token: each common prefix token bounds the overlap of two classes
-   of different components by the shared tokens before it and the shorter tail after it,
-   and pairs within the bound are compared exactly.  The bound is per pair: no token union
-   of a group is stored and no overlap of a query with a group is counted.
-
-All pairs of classes in different components that share a prefix token are bounded, so no
+4. A token whose postings all lie in a single component needs no further work.  The classes
+   of the other postings are partitioned anew, by the least hash of these tokens and by
+   size, and a token-group matrix holds the union of each group's tokens with the bounds
+   of its members.  Every class is a query: the tokens that it shares with a group's union
+   are counted, and the group is opened only where the count can reach the overlap that a
+   member of a fitting size needs.  In opened groups the same bound is taken for each pair,
+   and pairs within it are compared exactly.
+
+A group's bound holds for each of its members, so no
 link between components is missed and the components are exact; pairs inside a component
 need no comparison.  All steps are joins and sums over tokens, groups or pairs.
 
 Defined results: null texts and texts without words have empty sets, linked with
 nothing; a text of fewer words than a shingle is one shingle; equal rows fall into one
 class; a null key is kept (its component is the least key of it, null if alone); an
-empty table gives no rows; other columns pass through ``keep_one``.
+empty table gives no rows; very long texts are hashed segment by segment, whole; other
+columns pass through ``keep_one``.
 """
 
 from __future__ import annotations
@@ -138,6 +141,44 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int,
     return links
 
 
+def short_of(shared, a, b, num: int, den: int):
+    """Whether ``shared`` common prefix tokens are too few for sets of a and b tokens.  The set whose prefix ends first
+    has all its common prefix tokens in the other's prefix, and fewer than num / den of its tokens after it."""
+    need = num * den * (a + b) - num * (num + den) * F.greatest(a, b)
+    return shared * (den * (num + den)) <= need
+
+
+def candidates(posts: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes of different roots that can have the similarity, from the postings (set_id, n, at, nth,
+    token, root) of their prefix tokens, through a token-group matrix."""
+    posts = posts.select("set_id", "n", "at", "nth", "token", "root")
+    group = posts.groupBy("set_id").agg(F.struct(F.min(F.xxhash64("token")).alias("least"), F.floor(4 * F.log2(F.max("n"))).alias("size")).alias("group"))
+    grouped = stored(posts.join(group, "set_id"), "grouped")
+    matrix = stored(grouped.groupBy("group", "token").agg(F.max("nth").alias("nths"), F.max(F.col("n") - F.col("at")).alias("tail"), F.min("n").alias("lo"),
+                                                          F.max("n").alias("hi"), F.max("root").alias("roots")), "matrix")
+    # sizes of members that fit the query; the bounds below are least at one of the two ends
+    lo = F.greatest(F.col("lo"), F.ceil(F.col("n") * num / den))
+    hi = F.least(F.col("hi"), F.floor(F.col("n") * den / num))
+    enough = lambda room, a, b: room * (num + den) >= num * (a + b)
+    # of a pair's common tokens at most ``nth`` are before this one and the shorter tail from it on, so a pair within
+    # the similarity passes at each of them, and its group with it
+    room = F.least("nth", "nths") + F.least(F.col("n") - F.col("at"), F.col("tail"))
+    met = posts.join(matrix, "token").where(F.col("root") < F.col("roots")).where(lo <= hi).where(enough(room, F.col("n"), lo))
+    open_ = met.groupBy("set_id", "group", "n").agg(F.count(F.lit(1)).alias("shared"), F.min(lo).alias("lo"), F.max(hi).alias("hi"))
+    open_ = stored(open_.where(~short_of(F.col("shared"), F.col("n"), F.col("lo"), num, den) | ~short_of(F.col("shared"), F.col("n"), F.col("hi"), num, den))
+                   .select("set_id", "group"), "open")
+    x = posts.join(open_, "set_id").select("group", "token", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("nth").alias("qa"), F.col("root").alias("ra"))
+    y = grouped.select("group", "token", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("nth").alias("qb"), F.col("root").alias("rb"))
+    room = F.least("qa", "qb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    fits = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+    pairs = (x.join(y, ["group", "token"]).where("ra < rb").where(fits).where(enough(room, F.col("na"), F.col("nb")))
+             .groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+             .where(~short_of(F.col("shared"), F.col("na"), F.col("nb"), num, den)).select("a", "b"))
+    pairs = stored(pairs, "pairs")
+    discard(grouped, matrix, open_)
+    return pairs
+
+
 def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document: doc_id, text_id, n_shingles, component_id, kept (it is the component's least row, by
     doc_id, then text_id).  Similarity of at least num / den."""
@@ -212,15 +253,7 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, text:
         discard(before)
     discard(posts)
 
-    # classes of different components that tokens still connect are bounded pair by pair
-    x = placed.select("token", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("nth").alias("qa"), F.col("root").alias("ra"))
-    y = placed.select("token", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("nth").alias("qb"), F.col("root").alias("rb"))
-    # only tokens of several classes can be common: of a pair's common tokens at most ``nth`` are before this one
-    # and the shorter tail from it on, so a pair within the similarity passes at each of them
-    room = F.least("qa", "qb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    opened = (x.join(y, "token").where("ra < rb").where(fits(F.col("na"), F.col("nb"))).where(room * (num + den) >= num * (F.col("na") + F.col("nb")))
-              .select("a", "b").distinct())
-    opened = stored(opened, "opened")
+    opened = candidates(placed, num, den)
     discard(placed)
     more = verify(docs, opened, classes, shingle, num, den, text, key)
     if more.isEmpty():
