@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from acreage.llm import decontaminate, jaccard, language, lines, packing
-from acreage.llm.common import shared_dir, table
+from acreage.llm.common import shared_dir, table, unused
 from acreage.llm.token_path import BYTE_BPE
 
 CAPACITY = 2048
@@ -27,11 +27,12 @@ def language_stage(spark, docs, sf_dir):
 
 
 def lines_stage(spark, docs, sf_dir):
-    rows = lines.remove(docs, least_sites=10)
-    emptied = (F.col("_lines.removed") > 0) & ~F.col("text").rlike(WORD)
+    out = unused(docs.columns, "_lines")
+    rows = lines.remove(docs, least_sites=10, out=out)
+    emptied = (F.col(f"{out}.removed") > 0) & ~F.col("text").rlike(WORD)
     rows = rows.where(~F.coalesce(emptied, F.lit(False)))
-    changed = F.col("_lines.removed") > 0
-    return rows.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_lines")
+    changed = F.col(f"{out}.removed") > 0
+    return rows.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(out)
 
 
 def near_duplicates_stage(spark, docs, sf_dir):
