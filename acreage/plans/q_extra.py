@@ -13,6 +13,7 @@ from acreage.plans.q_features import WEIGHTS_SQL, _rate_rows
 from acreage.plans.q_parse import _furnish_text
 from acreage.plans.q_similarity import _part_profiles
 from acreage.plans.registry import query
+from acreage.session import cut_lineage
 
 
 @query("presence_rate", ops="E31", sql="""
@@ -41,10 +42,11 @@ SELECT CAST(bucket AS INTEGER) AS bucket, count(*) AS count, round(avg(price), 6
        round(median(price), 6) AS median FROM b GROUP BY bucket
 """)
 def score_buckets(spark, sf):
-    w = features.amenity_weights(_rate_rows(spark, sf), "key", "features", "rate", 30)
+    # edges, medians and the final read each go through the scores: weights and scores are computed once
+    w = cut_lineage(features.amenity_weights(_rate_rows(spark, sf), "key", "features", "rate", 30))
     p = table(spark, sf, "part").select("p_partkey", "p_retailprice", F.split("p_name", " ").alias("features"))
     lux = features.luxury_score(p, "p_partkey", "features", w).join(p.select("p_partkey", "p_retailprice"), "p_partkey")
-    return round_doubles(stats.score_buckets(lux, "luxury_score", "p_retailprice", 4))
+    return round_doubles(stats.score_buckets(cut_lineage(lux), "luxury_score", "p_retailprice", 4))
 
 
 @query("profiled_items", ops="D7 J4", sql="""

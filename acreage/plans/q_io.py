@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from acreage.sources import html as H
 from acreage.sources import io
 from acreage.plans.bindings import round_doubles, table
 from acreage.plans.registry import query
+from acreage.session import ensure_checkpoint_dir
+from acreage.sources.csv_splits import read_csv_split
 
 
 @query("upsert_latest", ops="A6 H7 H5", sql="""
@@ -111,3 +115,17 @@ WHERE r <= ceil(n * 0.1)
 """)
 def sample_rows(spark, sf):
     return io.sample(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 0.1, 42, "o_orderkey")
+
+
+@query("multiline_csv", ops="A1 A2", sql="""
+WITH d AS (SELECT doc_id, source, source || ': "' || coalesce(text, '') || '"' || chr(10) || 'end, of ' || CAST(doc_id AS VARCHAR) AS body FROM documents)
+SELECT doc_id, source, length(body) AS n_chars, md5(body) AS body_md5 FROM d
+""")
+def multiline_csv(spark, sf):
+    """Whole documents, written as CSV with quoted line breaks and read back by the reader that splits files."""
+    body = F.concat("source", F.lit(': "'), F.coalesce("text", F.lit("")), F.lit('"\nend, of '), F.col("doc_id").cast("string"))
+    docs = table(spark, sf, "documents").select("doc_id", "source", body.alias("body"))
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    docs.write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    rows = read_csv_split(spark, path, docs.schema)
+    return rows.select("doc_id", "source", F.length("body").cast("long").alias("n_chars"), F.md5(F.encode("body", "utf-8")).alias("body_md5"))

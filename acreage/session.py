@@ -63,6 +63,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors (once for each Spark application), so that Python functions of it run in tasks
+    wherever the driver was started and whatever is installed there."""
+    import shutil
+    app = spark.sparkContext.applicationId
+    if app not in SHIPPED:
+        here = os.path.dirname(os.path.abspath(__file__))
+        to = os.path.join(tempfile.mkdtemp(prefix="acreage-package-"), "acreage-package")      # the driver serves it from here
+        spark.sparkContext.addPyFile(shutil.make_archive(to, "zip", os.path.dirname(here), os.path.basename(here)))
+        SHIPPED.add(app)
+
+
+SHIPPED: set[str] = set()
+
+
 def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (survives executor
     loss; never a local checkpoint).  The input is persisted for the duration
