@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acreage.session import ensure_checkpoint_dir
+from acreage.session import ensure_checkpoint_dir, ship_package
 
 MULT = np.uint64(0x9E3779B97F4A7C15)       # odd: invertible modulo 2^64
 MULT_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -60,7 +60,8 @@ def unused(columns: list[str], name: str) -> str:
 
 def small_batches(df: DataFrame) -> DataFrame:
     """Whole texts are large rows: at most 1,000 of them in an Arrow batch of this session, which
-    bounds the memory of Python workers."""
+    bounds the memory of Python workers.  The package is sent to them."""
+    ship_package(df.sparkSession)
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= 1000:
         conf.set(name, "1000")
