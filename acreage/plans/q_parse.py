@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from acreage.functions import parse as P
+from acreage.operators.partitioning import spread
 from acreage.plans.bindings import L_SQL, listing_view, round_doubles, table
 from acreage.plans.registry import query
 
@@ -249,7 +250,8 @@ SELECT p_partkey,
 FROM y
 """)
 def price_profile(spark, sf):
-    p = table(spark, sf, "part").withColumn(
+    part = table(spark, sf, "part")
+    p = spread(part, min_partitions=4 * spark.sparkContext.defaultParallelism).withColumn(
         "details", P.decode_literal(_price_details_text(), PRICE_DETAILS_SCHEMA, empty=False))
     cols = P.price_profile("details")
     return round_doubles(p.select("p_partkey", *[c.alias(n) for n, c in cols.items()]))
