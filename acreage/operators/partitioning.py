@@ -24,3 +24,11 @@ def spread(df: DataFrame, keys=None, min_partitions: int | None = None) -> DataF
             return df.repartition(want, *([keys] if isinstance(keys, str) else list(keys)))
         return df.repartition(want)
     return df
+
+
+def dealt(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """Repartition (round-robin) a stored table whose scan has fewer partitions than one for each ``most`` rows, so that what a
+    task holds is bounded by rows, not by file size.  Smaller tables stay as they are read, which matters to fits whose random
+    starts depend on the partitions."""
+    want = -(-df.count() // most)
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from acreage.functions import parse as P
 from acreage.operators import features
-from acreage.operators.partitioning import spread
+from acreage.operators.partitioning import dealt
 from acreage.plans.bindings import round_doubles, table
 from acreage.plans.q_parse import _furnish_text
 from acreage.plans.registry import query
@@ -87,7 +87,7 @@ def tag_union(spark, sf):
 @query("furnish_clusters", ops="G6 B14 B15")
 def furnish_clusters(spark, sf):
     part = table(spark, sf, "part")
-    p = spread(part, min_partitions=4 * spark.sparkContext.defaultParallelism).withColumn("details", P.clean_list_text(_furnish_text()))
+    p = dealt(part).withColumn("details", P.clean_list_text(_furnish_text()))
     p = p.withColumns({k: c for k, c in P.item_counts("details", P.FURNISHING_ITEMS).items()})
     p = p.withColumn("known", F.col("details") != "No Info")
     model = features.FurnishClusters(P.FURNISHING_ITEMS, k=3, seed=42).fit(p)
