@@ -6,12 +6,14 @@ multi-hot matrix whose width grows with the vocabulary.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from acreage.operators.ordered import ns_join, plan_splitters, quantiles, running_total, value_counts, with_bucket
+from acreage.operators.ordered import plan_splitters, with_bucket
 
 
 def tag_union(frames: dict[str, DataFrame], tag_col: str = "property_type") -> DataFrame:
@@ -37,47 +39,60 @@ def multi_hot(df: DataFrame, arr: str, out: str = "features", vocab_size: int =
     return m, m.transform(df)
 
 
-def values_at(counts: DataFrame, value: str, cum: str, weight: str, positions: DataFrame, at: str) -> DataFrame:
+def values_at(counts: DataFrame, value: str, cum: str, weight: str, positions: DataFrame, at: str, by: str) -> DataFrame:
     """``positions`` plus the value at each 0-based position of the ordered multiset
-    ``counts`` (value, weight, inclusive running total).  An as-of lookup: both sides
-    are dealt into buckets of positions and read in order, so no key joins many
-    positions with many values."""
-    starts = counts.select(F.col(value).alias("_v"), (F.col(cum) - F.col(weight)).alias("_pos"))
-    spl = plan_splitters(starts, "_pos")
-    side = with_bucket(starts, "_pos", spl).withColumn("_q", F.lit(None).cast("struct<" + ",".join(
-        f"{f.name}:{f.dataType.simpleString()}" for f in positions.schema.fields) + ">"))
-    ask = with_bucket(positions.select(F.struct(*positions.columns).alias("_q"), F.col(at).cast("long").alias("_pos")), "_pos", spl)
-    ask = ask.select(F.lit(None).cast(starts.schema["_v"].dataType).alias("_v"), "_pos", "_b", "_q")
-    both = side.select("_v", F.col("_pos").cast("long").alias("_pos"), "_b", "_q").unionByName(ask)
-    # last value of each bucket, carried to later buckets: one row for each bucket
-    last = side.groupBy("_b").agg(F.max_by("_v", "_pos").alias("_last"))
-    bs = last.select("_b").unionByName(ask.select("_b").distinct()).distinct().join(last, "_b", "left")
-    carry = bs.select("_b", F.last("_last", True).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
-    inside = Window.partitionBy("_b").orderBy("_pos", F.col("_q").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("_found", F.last("_v", True).over(inside)).where(F.col("_q").isNotNull()).join(carry, "_b", "left")
-    return found.select("_q.*", F.coalesce("_found", "_carry").alias(value))
-
-
-def _complement_medians(all_counts: DataFrame, own_counts: DataFrame, value: str, group: str) -> DataFrame:
-    """Median of ``value`` over the rows NOT in each group, without materialising the
-    complement, from the counts of all rows (value, _w) and of the groups' rows (group,
-    value, _p).
-
-    With H the running count of all rows and P that of the group's rows, the
-    complement has H(v) - P(v) rows up to a value v of the group.  For a rank r let P*
-    be the group's rows up to its last value with H - P <= r: then the complement's
-    value of rank r is the value of all rows at position r + P*.  H meets P by an
-    equality join on the value, and each group asks for two positions."""
-    hv = running_total(all_counts, value, weight="_w", out="_h", total="_all")
-    pv = running_total(own_counts, value, group, weight="_p", out="_pc", total="_in")
-    own = pv.join(hv.select(value, "_h", "_all"), value)
-    n = own.groupBy(group).agg((F.max("_all") - F.max("_in")).alias("_n")).where("_n > 0")
-    n = n.withColumn("_rlo", F.floor((F.col("_n") - 1) / 2)).withColumn("_rhi", F.ceil((F.col("_n") - 1) / 2))
-    upto = lambda r: F.coalesce(F.max(F.when(F.col("_h") - F.col("_pc") <= F.col(r), F.col("_pc"))), F.lit(0))
-    ask = ns_join(own, n, [group]).groupBy(group).agg((F.max("_rlo") + upto("_rlo")).alias("_lo"), (F.max("_rhi") + upto("_rhi")).alias("_hi"))
-    ask = ask.select(group, F.explode(F.array("_lo", "_hi")).alias("_at"))
-    found = values_at(hv, value, "_h", "_w", ask, "_at")
-    return found.groupBy(group).agg(((F.min(value) + F.max(value)) / 2).cast("double").alias("median_absent"))
+    ``counts`` (value, weight, inclusive running total) of the same ``by``.  An as-of lookup: both
+    sides are read in order, so no key joins many positions with many values."""
+    side = counts.select(by, F.col(value).alias("_v"), (F.col(cum) - F.col(weight)).cast("long").alias("_pos"),
+                         F.lit(None).cast(positions.select(F.struct("*")).schema[0].dataType).alias("_q"))
+    ask = positions.select(by, F.lit(None).cast(side.schema["_v"].dataType).alias("_v"), F.col(at).cast("long").alias("_pos"),
+                           F.struct(*positions.columns).alias("_q"))
+    inside = Window.partitionBy(by).orderBy("_pos", F.col("_q").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = side.unionByName(ask).withColumn(value, F.last("_v", True).over(inside)).where(F.col("_q").isNotNull())
+    return found.select("_q.*", value)
+
+
+def _median_asks(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The buckets that hold the middle ranks of every amenity's values and of the values of all other rows, and
+    the middle ranks counted from the bucket's start: two tables (amenity, _b, _r) of one or two rows an amenity.
+
+    ``sizes`` is (amenity, _b, _n), the rows of each bucket of values, in order; the rows of no amenity are all rows.
+    These totals (one for each bucket) are a literal, so an amenity needs no row for a bucket it does not occur in."""
+    totals = sorted((r["_b"], r["_n"]) for r in sizes.where(F.col("amenity").isNull() & F.col("_b").isNotNull()).collect())
+    buckets, cums = [b for b, _ in totals], list(itertools.accumulate(n for _, n in totals))
+    at, ends = F.array(*[F.lit(b) for b in buckets]).cast("array<double>"), F.array(*[F.lit(n) for n in cums]).cast("array<long>")
+    before = F.array(F.lit(0), *[F.lit(n) for n in cums]).cast("array<long>")
+    whole = Window.partitionBy("amenity")
+    own = (sizes.where(F.col("amenity").isNotNull() & F.col("_b").isNotNull())
+           .withColumn("_c", F.sum("_n").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+           .withColumn("_in", F.sum("_n").over(whole)).withColumn("_h", F.get(ends, (F.array_position(at, F.col("_b")) - 1).cast("int"))))
+    middle = lambda n: F.explode(F.array_distinct(F.array(F.floor((n - 1) / 2), F.ceil((n - 1) / 2))))
+    start = F.col("_c") - F.col("_n")
+    present = (own.select("*", middle(F.col("_in")).alias("_r")).where((F.col("_r") >= start) & (F.col("_r") < F.col("_c")))
+               .select("amenity", "_b", (F.col("_r") - start).alias("_r")))
+    others = F.lit(cums[-1] if cums else 0) - F.col("_in")
+    absent = (own.where(others > 0).select("amenity", "_c", "_h", middle(others).alias("_r")).groupBy("amenity", "_r")
+              .agg((F.col("_r") + F.coalesce(F.max(F.when(F.col("_h") - F.col("_c") <= F.col("_r"), F.col("_c"))), F.lit(0))).alias("_at"))
+              .withColumn("_i", F.size(F.filter(ends, lambda x: x <= F.col("_at")))))
+    return present, absent.select("amenity", F.get(at, F.col("_i")).alias("_b"), (F.col("_at") - F.get(before, F.col("_i"))).alias("_r"))
+
+
+def _medians(cum: DataFrame, value: str, present: DataFrame, absent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Medians of ``value`` over each amenity's rows, and over all other rows without materialising them.
+
+    ``cum`` (amenity, _b, value, _n, _c) has the running counts within the asked buckets, of all rows where the
+    amenity is null.  With H the running count of all rows and P that of the amenity's rows, the complement has
+    H(v) - P(v) rows up to a value v of the amenity.  For a rank r let P* be the amenity's rows up to its last value
+    with H - P <= r: then the complement's value of rank r is the value of all rows at position r + P*.  H meets P by
+    an equality join on the value."""
+    own, every = cum.where(F.col("amenity").isNotNull()), cum.where(F.col("amenity").isNull()).drop("amenity")
+    hit = own.join(present, ["amenity", "_b"]).where((F.col("_r") >= F.col("_c") - F.col("_n")) & (F.col("_r") < F.col("_c")))
+    middle = lambda d, name: d.groupBy("amenity").agg(((F.min(value) + F.max(value)) / 2).cast("double").alias(name))
+    steps = own.select("amenity", "_b", value, "_c").join(every.select("_b", value, F.col("_c").alias("_h")), ["_b", value])
+    upto = F.coalesce(F.max(F.when(F.col("_h") - F.col("_c") <= F.col("_r"), F.col("_c"))), F.lit(0))
+    ask = absent.join(steps, ["amenity", "_b"], "left").groupBy("amenity", "_b", "_r").agg((F.col("_r") + upto).alias("_at"))
+    found = values_at(every, value, "_c", "_n", ask.select("amenity", "_b", "_at"), "_at", "_b")
+    return middle(hit, "median_present"), middle(found, "median_absent")
 
 
 def amenity_weights(df: DataFrame, key: str, arr: str, rate: str, min_count: int = 30) -> DataFrame:
@@ -85,21 +100,30 @@ def amenity_weights(df: DataFrame, key: str, arr: str, rate: str, min_count: int
     premium = max(median rate with it - median rate without it, 0), else 0;
     weights are divided by the largest premium when it is positive.  Null
     rates are skipped by both medians.  Returns (amenity, n_present,
-    median_present, median_absent, premium, weight)."""
-    base = df.select(key, F.col(rate).alias("__rate"), arr)
-    pres = base.select(key, "__rate", F.explode(F.array_distinct(F.col(arr))).alias("amenity")).where(
-        F.col("amenity").isNotNull())
-    n_pres = pres.groupBy("amenity").agg(F.count(F.lit(1)).alias("n_present"))
-    # the counts of distinct rates feed several ordered steps: stored once
-    from acreage.session import cut_lineage
-    all_counts = cut_lineage(value_counts(base, "__rate"))
-    own_counts = cut_lineage(value_counts(pres, "__rate", "amenity", out="_p"))
-    med_p = quantiles(own_counts, "__rate", [0.5], "amenity", names=["median_present"], weight="_p")
-    med_a = _complement_medians(all_counts, own_counts, "__rate", "amenity")
+    median_present, median_absent, premium, weight).
+
+    The rates and amenities of all rows are stored once.  Rows are counted by (amenity, bucket of rates), which is
+    added up before the shuffle; only the rows of the buckets that hold a middle rank are put in order."""
+    from acreage.session import cut_lineage, discard, store
+    base, path = store(df.select(F.col(rate).alias("__rate"), F.array_compact(F.array_distinct(F.col(arr))).alias("__has")), "rates")
+    inner = [x for x in plan_splitters(base, "__rate") if not math.isinf(x)]
+    base = with_bucket(base, "__rate", inner).withColumn("_b", F.when(F.col("__rate").isNotNull(), F.col("_b")))
+    none = F.lit(None).cast(base.schema["__has"].dataType.elementType)
+    rows = base.select("_b", "__rate", F.explode(F.concat(F.array(none), F.coalesce("__has", F.array().cast(base.schema["__has"].dataType)))).alias("amenity"))
+    sizes = cut_lineage(rows.groupBy("amenity", "_b").agg(F.count(F.lit(1)).alias("_n")))
+    n_pres = sizes.where(F.col("amenity").isNotNull()).groupBy("amenity").agg(F.sum("_n").alias("n_present"))
+    present, absent = (cut_lineage(x) for x in _median_asks(sizes))
+    asked = present.select("amenity", "_b").unionByName(absent.select("amenity", "_b")).distinct()
+    near = rows.where(F.col("_b").isin([r["_b"] for r in asked.select("_b").distinct().collect()]))
+    near = near.where(F.col("amenity").isNull()).unionByName(near.join(asked, ["amenity", "_b"], "left_semi"))
+    counts = cut_lineage(near.groupBy("amenity", "_b", "__rate").agg(F.count(F.lit(1)).alias("_n")))
+    discard(df.sparkSession, path)
+    upto = Window.partitionBy("amenity", "_b").orderBy("__rate").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    med_p, med_a = _medians(counts.withColumn("_c", F.sum("_n").over(upto)), "__rate", present, absent)
     t = n_pres.join(med_p, "amenity", "left").join(med_a, "amenity", "left")
     prem = F.when(F.col("n_present") > min_count,
                   F.greatest(F.col("median_present") - F.col("median_absent"), F.lit(0.0))).otherwise(F.lit(0.0))
-    t = t.withColumn("premium", F.coalesce(prem, F.lit(0.0)))
+    t = cut_lineage(t.withColumn("premium", F.coalesce(prem, F.lit(0.0))))
     # largest premium: a one-row aggregate attached as a scalar subquery (the amenity
     # vocabulary can be large, so no global window)
     from acreage.operators.scalars import attach_row
