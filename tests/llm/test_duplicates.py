@@ -10,7 +10,8 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 import plain  # noqa: E402
 
-from acreage.llm import components, decontaminate, jaccard, lines, repeats  # noqa: E402
+from acreage.llm import components, decontaminate, jaccard, lines, queries, repeats  # noqa: E402
+from acreage.session import ensure_checkpoint_dir  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, source string, n string, root int, tokens string, _doc int"
 
@@ -205,6 +206,46 @@ def test_repeats_small_tables(spark):
     assert repeats.remove(table.limit(0)).collect() == []
 
 
+def words_of(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(n))
+
+
+def test_repeats_shared_passages_below_half_the_length_are_not_indexed(spark, monkeypatch):
+    rng, real, rows = random.Random(21), repeats.stored, {}
+    line = words_of(rng, 60)[:150]
+    data = [(i, f"{words_of(rng, 120)} {line} {words_of(rng, 120)}") for i in range(40)]
+
+    def stored(df, name):
+        rows[name] = real(df, name)
+        return rows[name]
+    monkeypatch.setattr(repeats, "stored", stored)
+    monkeypatch.setattr(repeats, "discard", lambda *frames: None)
+    got = repeats.remove(spark.createDataFrame(data, "doc_id bigint, text string"))
+    assert rows["open"].count() == 0
+    assert [r._spans for r in got.collect()] == [[]] * 40
+
+
+@pytest.mark.parametrize("most", [1000, 2])
+def test_repeats_delete_the_tables_that_nothing_reads(spark, most):
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    table = spark.createDataFrame(repeat_rows(seed=4), "doc_id bigint, text string")
+    before = set(os.listdir(folder))
+    assert repeats.remove(table, length=64, most=most).count() == table.count()
+    assert [n.split("-")[0] for n in set(os.listdir(folder)) - before] == ["spans"]
+
+
+def test_query_tells_documents_with_a_repeat(spark, tmp_path):
+    rng = random.Random(22)
+    passages = [words_of(rng, n) for n in (51, 55, 60, 80, 110, 150)]           # of over 50 words; 400 bytes decide
+    texts = [f"{words_of(rng, 90)} {p} {words_of(rng, 90)}" for p in passages for _ in range(2)] + [words_of(rng, 200) for _ in range(6)] + ["short", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op9_repeated_strings"](spark, str(tmp_path)).collect()}
+    want = plain.without_repeats(texts, 400)
+    assert {k: (r.n_removed, r.n_spans) for k, r in got.items()} == {k: (x[0], x[1]) for k, x in enumerate(want)}
+    assert {k for k, r in got.items() if r.has_repeat} == {k for k, x in enumerate(want) if x[0]}
+    assert {k for k, r in got.items() if r.has_repeat} == {2 * i + j for i, p in enumerate(passages) if len(f" {p} ") >= 400 for j in (0, 1)} != set()
+
+
 def test_run_index_matches():
     rng = random.Random(5)
     for _ in range(60):
